@@ -1,6 +1,8 @@
 """Registered queries of the problems solved in this subpackage."""
 
-from strainspark.llm.q_topn import QUERIES as _Q2, SQL as _S2
+from strainspark.llm import q_pairs, q_topn
 
-QUERIES = {**_Q2}
-SQL = {**_S2}
+QUERIES, SQL = {}, {}
+for module in (q_pairs, q_topn):
+    QUERIES |= module.QUERIES
+    SQL |= module.SQL
