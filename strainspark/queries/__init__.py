@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES (name to function) and SQL (name to text)."""
 
-from strainspark.queries import periods
+from strainspark.queries import periods, ranked
 
-MODULES = [periods]
+MODULES = [periods, ranked]
