@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES (name to function) and SQL (name to text)."""
 
-from strainspark.queries import periods, ranked
+from strainspark.queries import periods, ranked, strings
 
-MODULES = [periods, ranked]
+MODULES = [periods, ranked, strings]
