@@ -165,7 +165,7 @@ sh AS (SELECT sample, st, count(*) AS n_shared FROM c JOIN p USING (locus, allel
 SQL = {
     "hits_on_contigs": f"WITH {_M}, p AS (SELECT DISTINCT qid, sample, contig, piece_offset FROM pieces) SELECT merged_id, sample, contig, query_start + coalesce(piece_offset, 0) AS start, query_end + coalesce(piece_offset, 0) AS \"end\" FROM m JOIN p ON qseqid = qid",
     "hits_with_metadata": f"WITH {_M}, t AS (SELECT DISTINCT seqid, gene, class, element_type FROM meta) SELECT merged_id, sseqid, coalesce(gene, '') AS gene, coalesce(class, '') AS drug_class, coalesce(element_type, '') AS element_type FROM m LEFT JOIN t ON sseqid = seqid",
-    "hits_over_thresholds": f"""WITH {_M}, t AS (SELECT merged_id, regexp_extract(sseqid, '^(.*)_[^_]*$', 1) AS database, identity_pct AS i, coverage_pct AS c FROM m WHERE NOT isnan(identity_pct))
+    "hits_over_thresholds": """WITH t AS (SELECT DISTINCT merged_id, regexp_extract(sseqid, '^(.*)_[^_]*$', 1) AS database, identity_pct AS i, coverage_pct AS c FROM merged_hits WHERE identity_pct IS NOT NULL AND NOT isnan(identity_pct))
 SELECT merged_id, database FROM t WHERE i >= CASE database WHEN 'plasdb' THEN 95 WHEN 'vircat' THEN 90 ELSE 80 END AND c >= CASE database WHEN 'vircat' THEN 80 ELSE 60 END""",
     "samples_without_hits": "SELECT DISTINCT sample FROM samples WHERE sample IS NOT NULL AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.sample = samples.sample)",
     "samples_with_virulence": "SELECT DISTINCT sample, species FROM samples WHERE sample IN (SELECT sample FROM hits WHERE element_type = 'VIRULENCE' AND sample IS NOT NULL)",
