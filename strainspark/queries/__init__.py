@@ -1,5 +1,5 @@
 """Registered queries: each module has QUERIES (name to function) and SQL (name to text)."""
 
-from strainspark.queries import joins, periods, ranked, strings
+from strainspark.queries import files, joins, periods, ranked, strings
 
-MODULES = [periods, ranked, strings, joins]
+MODULES = [periods, ranked, strings, joins, files]
