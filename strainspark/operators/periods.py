@@ -20,7 +20,7 @@ def _sessions(df: DataFrame, by: Sequence[str]) -> DataFrame:
     n = F.expr("make_interval(0, 0, 0, 0, 0, 0, CAST(_hi - _lo + 1 AS DECIMAL(18, 0)) * 0.000001BD)")
     return (
         df.groupBy(*by, F.session_window(F.timestamp_micros("_lo"), n).alias("_w"))
-        .agg(F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+        .agg(F.max("_a").alias("_a"), F.min("_b").alias("_b"))
         .select(*by, F.unix_micros("_w.start").alias("_lo"), (F.unix_micros("_w.end") - 1).alias("_hi"), "_a", "_b")
     )
 
@@ -53,8 +53,8 @@ def stretches(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, block: in
         .select(*[F.col(q(k)).alias(n) for k, n in zip(keys, names)], F.least(a, b).alias("_lo"), F.greatest(a, b).alias("_hi"))
         .withColumn("_block", F.floor(F.col("_lo") / F.lit(block)))
     )
-    iv = F.struct("_lo", "_hi")
-    salted = rows.select(*at, F.pmod(F.xxhash64("_lo", "_hi"), F.lit(salts)).alias("_salt"), "_lo", "_hi", iv.alias("_a"), iv.alias("_b"))
+    # _a and _b: the last start and the first end of a stretch, which are its own ends if it is one interval.
+    salted = rows.select(*at, F.pmod(F.xxhash64("_lo", "_hi"), F.lit(salts)).alias("_salt"), "_lo", "_hi", F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
     local = _sessions(_sessions(salted, [*at, "_salt"]).drop("_salt"), at)
 
     # The furthest end that reaches a block from earlier ones: a row per block, so few for any entity.
@@ -69,7 +69,7 @@ def stretches(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, block: in
         .withColumn("_start", F.coalesce(F.col("_lo") > F.greatest("_prev", "_carry") + 1, F.lit(True)))
         .withColumn("_c", F.count_if("_start").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*at, "_c")
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_a").alias("_a"), F.min("_b").alias("_b"))
     )
     by_c = Window.partitionBy(*at).orderBy("_c")
     parts = parts.withColumn("_next", F.lead("_lo").over(by_c))
@@ -82,12 +82,12 @@ def stretches(df: DataFrame, keys: Sequence[str], lo: str, hi: str, *, block: in
         parts.where(~closed)
         .withColumn("_id", F.count_if(F.col("_c") > 0).over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*names, "_id")
-        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.max_by("_next", F.struct("_block", "_c")).alias("_next"))
+        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_a").alias("_a"), F.min("_b").alias("_b"), F.max_by("_next", F.struct("_block", "_c")).alias("_next"))
         .withColumn("_next", F.coalesce("_next", F.lead("_lo").over(Window.partitionBy(*names).orderBy("_id"))))
     )
     return (
         parts.where(closed).select(*out).unionByName(edges.select(*out))
-        .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), (F.col("_a") != F.col("_b")).alias("several"), F.col("_next").alias("next_lo"))
+        .select(*[F.col(n).alias(k) for n, k in zip(names, keys)], F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), ((F.col("_a") != F.col("_lo")) | (F.col("_b") != F.col("_hi"))).alias("several"), F.col("_next").alias("next_lo"))
     )
 
 
