@@ -153,8 +153,10 @@ def canonicalise(
     few = index.limit(FEW + 1).count() <= FEW
     small = F.broadcast if few else lambda df: df
     rare = math.log(1.0 + size) ** 2
+    # All of a value's n-grams arise in one task: its sums and its length need no further shuffle.
+    spread = own.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
     sums = (
-        own.select("v", _grams("norm", n).alias("g"))
+        spread.select("v", _grams("norm", n).alias("g"))
         .join(small(index), "g", "left")
         .groupBy("v", "entry")
         .agg(F.sum(F.coalesce("w2", F.lit(rare))).alias("dot"))
