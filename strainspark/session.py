@@ -44,9 +44,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: This driver's own part of the shared folder.
+_OWN = uuid.uuid4().hex
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new, not yet existing path in the shared folder."""
-    return f"{shared_dir(spark)}/strainspark/{name}-{uuid.uuid4().hex}"
+    """A new, not yet existing path in this driver's part of the shared folder; :func:`clean` deletes them all."""
+    return f"{shared_dir(spark)}/strainspark-{_OWN}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
@@ -60,6 +64,11 @@ def materialize(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete all that this driver wrote into the shared folder; call it when no DataFrame made so far is needed."""
+    remove(spark, f"{shared_dir(spark)}/strainspark-{_OWN}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`scratch`."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
