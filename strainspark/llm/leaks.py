@@ -16,9 +16,10 @@ from strainspark.columns import require
 from strainspark.llm.textnorm import words
 from strainspark.session import materialize
 
-#: Up to this many different q-grams of the items (8 bytes each) are sent to every task, to drop other
-#: grams where they arise; beyond it all grams of the documents are joined by a shuffle.
-FILTER_GRAMS = 4_000_000
+#: Up to this many q-grams of the items, their index is sent to every task; more are joined by a shuffle.
+FEW = 2_000_000
+#: Most bits of the map of the items' q-grams by which tasks drop other grams where they arise (32 MB).
+BITS = 1 << 28
 #: Characters hashed at once; longer texts are hashed in overlapping parts.
 PART = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -57,8 +58,24 @@ def gram_hashes(text: str, size: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at, _mix((sums[size : size + m] - sums[:m]) * up[:m]).view(np.int64)
 
 
-def _grams(size: int, wanted):
-    """Rows (id, text) to (id, pos, h): the q-grams, only those in ``wanted`` (a broadcast sorted array) if given."""
+def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A map of ``bits`` bits in which the low bits of each hash are set, packed block by block in Spark."""
+    slot = F.col("h").bitwiseAND(F.lit(bits - 1))
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        marks = np.zeros(1 << 16, dtype=bool)
+        marks[block["low"].to_numpy()] = True
+        return pd.DataFrame({"block": block["block"].iloc[:1].to_numpy(), "packed": [np.packbits(marks).tobytes()]})
+
+    slots = hashes.select(F.shiftright(slot, 16).cast("int").alias("block"), slot.bitwiseAND(F.lit((1 << 16) - 1)).cast("int").alias("low")).distinct()
+    out = np.zeros((max(1, bits >> 16), 1 << 13), dtype=np.uint8)
+    for r in slots.groupBy("block").applyInPandas(pack, "block int, packed binary").collect():  # no more than BITS / 8 bytes
+        out[r.block] = np.frombuffer(r.packed, dtype=np.uint8)
+    return out.ravel()
+
+
+def _grams(size: int, bits: int, wanted):
+    """Rows (id, text) to (id, pos, h): the q-grams, only those set in ``wanted`` (a broadcast map) if given."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = wanted.value if wanted is not None else None
@@ -75,11 +92,8 @@ def _grams(size: int, wanted):
                 for at, h in gram_hashes(" ".join(words(t)), size):
                     where = np.arange(len(h))
                     if keep is not None:
-                        where = where[:0]
-                        if len(keep):
-                            slot = np.searchsorted(keep, h)
-                            slot[slot == len(keep)] = 0
-                            where = np.flatnonzero(keep[slot] == h)
+                        slot = h & (bits - 1)
+                        where = np.flatnonzero(keep[slot >> 3] & (128 >> (slot & 7)).astype(np.uint8))
                     if len(where):
                         rows.append(k), pos.append(where + at), hashes.append(h[where])
                         held += len(where)
@@ -193,7 +207,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     shares at least L + 1 - q (edits + 1) q-grams within a band of diagonals as wide as the edits. q is
     chosen so that this bound stays above a quarter of (L + 1); then
 
-    1. q-grams of the documents that no item has are dropped where they arise;
+    1. q-grams of the documents that no item has are dropped where they arise, by a map of bits of
+       bounded size (a few pass it by chance and fall away in the join);
     2. the others are joined with the items' and counted by document, item and band (two overlapping
        bands for each diagonal if there are edits, else the diagonal itself), before and after the shuffle;
     3. regions that reach the bound are verified on the words by a banded alignment (without edits this
@@ -207,6 +222,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     require(items, item_id, item_text)
     if min_words < 1 or max_edits < 0:
         raise ValueError("min_words must be at least 1, max_edits at least 0")
+    if len({doc_id.lower(), item_id.lower(), "n_words"}) < 3:
+        raise ValueError("doc_id, item_id and n_words must be three names")
     spark = docs.sparkSession
     d = docs.select(F.col(quoted(doc_id)).alias("id"), F.col(quoted(doc_text)).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     i = items.select(F.col(quoted(item_id)).alias("id"), F.col(quoted(item_text)).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
@@ -225,11 +242,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     bound = max(1, shortest + 1 - size * (max_edits + 1))
     grams = "pos int, h bigint"
     id_of = lambda df: df.schema["id"].dataType.simpleString()
-    of_items = materialize(normal.select("id", F.col("norm").alias("text")).mapInArrow(_grams(size, None), f"id {id_of(normal)}, {grams}"), "leak-grams")
-    known = of_items.select("h").distinct()
-    few = of_items.limit(FILTER_GRAMS + 1).count() <= FILTER_GRAMS
-    wanted = spark.sparkContext.broadcast(np.sort(known.toPandas()["h"].to_numpy(dtype=np.int64))) if few else None
-    of_docs = d.mapInArrow(_grams(size, wanted), f"id {id_of(d)}, {grams}")
+    of_items = materialize(normal.select("id", F.col("norm").alias("text")).mapInArrow(_grams(size, 0, None), f"id {id_of(normal)}, {grams}"), "leak-grams")
+    n_grams = of_items.count()
+    few = n_grams <= FEW
+    bits = min(BITS, 1 << max(16, (32 * n_grams).bit_length()))
+    wanted = spark.sparkContext.broadcast(_bitmap(of_items, bits))
+    of_docs = d.mapInArrow(_grams(size, bits, wanted), f"id {id_of(d)}, {grams}")
     index = of_items.select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "h")
     met = of_docs.join(F.broadcast(index) if few else index, "h")
 
