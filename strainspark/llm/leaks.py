@@ -205,7 +205,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     regardless of case, punctuation, markup and encoding), with at most ``max_edits`` characters edited
     in each such window. Let L be the length of the items' shortest window. q-gram lemma: a passage
     shares at least L + 1 - q (edits + 1) q-grams within a band of diagonals as wide as the edits. q is
-    chosen so that this bound stays above a quarter of (L + 1); then
+    chosen so that this bound is an eighth of (L + 1); then
 
     1. q-grams of the documents that no item has are dropped where they arise, by a map of bits of
        bounded size (a few pass it by chance and fall away in the join);
@@ -238,7 +238,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
     shortest = normal.agg(F.min("shortest")).first()[0]
     if shortest is None:
         return spark.createDataFrame([], out)
-    size = max(1, 3 * (shortest + 1) // (4 * (max_edits + 1)))
+    size = max(1, 7 * (shortest + 1) // (8 * (max_edits + 1)))
     bound = max(1, shortest + 1 - size * (max_edits + 1))
     grams = "pos int, h bigint"
     id_of = lambda df: df.schema["id"].dataType.simpleString()
