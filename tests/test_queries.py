@@ -26,3 +26,18 @@ def test_query(spark, con, data, name):
 
 def test_sql_belongs_to_queries():
     assert set(SQL) <= set(QUERIES)
+
+
+def test_found_queries_have_the_given_columns(spark, data):
+    assert QUERIES["p3_found"](spark, data).dtypes == [("axis", "string"), ("key_a", "string"), ("key_b", "string"), ("kind", "string"), ("lo", "bigint"), ("hi", "bigint")]
+    assert QUERIES["p5_found"](spark, data).dtypes == [("sample", "string"), ("gene", "string")]
+
+
+def test_core_stands_alone():
+    """Without the llm folder the entry still gives the core's queries, and nothing in the core imports it."""
+    import pathlib
+    import re
+
+    root = pathlib.Path(__file__).parent.parent / "strainspark"
+    own = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts]
+    assert own and not any(re.search(r"strainspark[.]llm|from [.]+llm", p.read_text()) for p in own)
