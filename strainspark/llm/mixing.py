@@ -86,6 +86,8 @@ class Mix:
     def __init__(self, docs: DataFrame, targets: DataFrame, *, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = 42, tokenizers: str = TOKENIZERS, ranks: str = RANKS):
         require(docs, id, source, text)
         require(targets, "source", "target_share", "max_repeats")
+        if id.lower() in ("source", "n_tokens", "copy"):
+            raise ValueError(f"an id can't be named {id}, like a result column")
         self.id, self.seed = id, seed
         sized = with_tokens(docs.select(F.col(q(id)).alias("id"), source_key(F.col(q(source))).alias("key"), F.col(q(text)).alias("text")), "text", tokenizers=tokenizers, ranks=ranks)
         #: id, key, n_tokens: what a document's text comes to, encoded once.
