@@ -148,3 +148,36 @@ def best_cover(points: DataFrame, spans: DataFrame, keys: Sequence[str], point:
     met = points.join(s, cond)
     first = met.withColumn("_n", F.row_number().over(Window.partitionBy(q(point_id)).orderBy(*order))).where("_n = 1")
     return first.select(*[F.col(q(c)) for c in points.columns], *[F.col(q(f)) for f in fields])
+
+
+class _OneToOne(Fold):
+    """Candidate pairs (keys, a, b) in order: a pair is taken if neither side is."""
+
+    def __init__(self, at: int):
+        self.at, self.a, self.b = at, set(), set()
+
+    def add(self, row):
+        a, b = row[self.at], row[self.at + 1]
+        if a in self.a or b in self.b:
+            return ()
+        self.a.add(a)
+        self.b.add(b)
+        return ((a, b),)
+
+
+def match_one_to_one(a: DataFrame, b: DataFrame, keys: Sequence[str], lo: str, hi: str, row_id: str, *, share: float = 0.5, width: int) -> DataFrame:
+    """``a_id``, ``b_id``: rows of ``a``, by start and id, each with the first free row of ``b`` (by start and id) of its
+    keys that overlaps it by at least ``share`` of the shorter of the two.
+
+    Candidates come from :func:`overlap_pairs`; a group's candidates stream through one task, which holds the
+    ids matched so far. Ids are of one type and unique on each side.
+    """
+    p = overlap_pairs(a, b, keys, lo, hi, width=width)
+    A, B = (lambda c: F.col(q("a_" + c))), (lambda c: F.col(q("b_" + c)))
+    shared = F.least(A(hi), B(hi)) - F.greatest(A(lo), B(lo)) + 1
+    p = p.where(shared >= share * F.least(A(hi) - A(lo) + 1, B(hi) - B(lo) + 1))
+    flat = p.select(*[A(k).alias(f"_k{i}") for i, k in enumerate(keys)], A(row_id).alias("_a"), B(row_id).alias("_b"), A(lo).alias("_al"), B(lo).alias("_bl"))
+    kind = a.schema[row_id].dataType
+    out = T.StructType([T.StructField("a_id", kind), T.StructField("b_id", kind)])
+    n = len(keys)
+    return fold_groups(flat, n, [F.col("_al"), F.col("_a"), F.col("_bl"), F.col("_b")], lambda: _OneToOne(n), out)

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from strainspark.functions.names import marker_stem
 from strainspark.functions.sequences import revcomp
 from strainspark.operators.calls import best_reference, called_genes, closest_alleles, marker_variants, read_stats, reference_coverage
+from strainspark.operators.overlap import match_one_to_one
 from strainspark.operators.seeds import search
+from strainspark.plans.mutations import call_mutations, mutation_summary
 from strainspark.queries.joins import merged
 from strainspark.queries.ranked import hits
-from strainspark.queries.strings import aligned, consensus_sequences
+from strainspark.queries.strings import aligned, consensus_sequences, residues
 from strainspark.queries.tables import table
 
 
@@ -63,7 +65,27 @@ def counts_by_type(spark, d):
     return m.groupBy(F.upper("class").alias("class")).pivot("element_type", ["AMR", "PLASMID", "STRESS", "VIRULENCE"]).agg(F.count(F.lit(1))).fillna(0)
 
 
-QUERIES = {f.__name__: f for f in (seed_search, reference_calls, allele_matches, marker_best, read_gene_calls, piece_read_stats, counts_by_type)}
+def catalog(spark, d):
+    """Every difference that an alignment shows, as the catalogue."""
+    r = residues(spark, d).where("observed <> reference")
+    return r.select("sseqid", "position", F.concat("sseqid", F.lit("_"), "reference", F.col("position").cast("string"), "observed").alias("symbol"), F.col("reference").alias("ref"), F.col("observed").alias("alt")).distinct()
+
+
+def mutation_calls(spark, d):
+    return call_mutations(table(spark, d, "hsps"), table(spark, d, "pieces"), catalog(spark, d)).select("sample", "sseqid", "position", "symbol", "observed", "reference", "hsp_id", "mutant")
+
+
+def mutations_by_sample(spark, d):
+    return mutation_summary(call_mutations(table(spark, d, "hsps"), table(spark, d, "pieces"), catalog(spark, d)))
+
+
+def database_matches(spark, d):
+    """Hits of two databases matched one to one by place."""
+    h = hits(spark, d).where("sample IS NOT NULL AND sequence <> '' AND start >= 1 AND end >= start").select("hit_id", "database", "sample", "sequence", "start", "end")
+    return match_one_to_one(h.where("database = 'resbase'"), h.where("database = 'plasdb'"), ["sample", "sequence"], "start", "end", "hit_id", width=2000)
+
+
+QUERIES = {f.__name__: f for f in (seed_search, reference_calls, allele_matches, marker_best, read_gene_calls, piece_read_stats, counts_by_type, mutation_calls, mutations_by_sample, database_matches)}
 
 _H = "h AS (SELECT * FROM hits QUALIFY hit_id IS NULL OR row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 SQL = {
@@ -80,6 +102,15 @@ b AS (SELECT sample, family, gene FROM v QUALIFY row_number() OVER (PARTITION BY
 SELECT sample, family, gene, round(depth, 4) AS depth, n_genes FROM n JOIN b USING (sample, family) WHERE depth >= 5""",
     "piece_read_stats": """WITH a AS (SELECT DISTINCT hsp_id, qseq, CASE WHEN send >= sstart THEN '+' ELSE '-' END AS strand FROM hsps WHERE qseq IS NOT NULL AND sseq IS NOT NULL)
 SELECT strand, count(*) AS n_reads, round(avg(length(qseq)), 6) AS mean_length, round(sum(list_sum(list_transform(string_split(translate(qseq, 'ACGT', 'I?5+'), ''), lambda x: ascii(x) - 33))) / sum(length(qseq)), 6) AS mean_quality FROM a GROUP BY strand""",
+    "mutation_calls": """WITH a AS (SELECT hsp_id, qseqid, sseqid, qseq, sseq, sstart, send, bitscore FROM hsps WHERE qseq IS NOT NULL AND sseq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hsp_id) = 1),
+i AS (SELECT *, unnest(range(1, length(sseq) + 1)) AS i FROM a), r AS (SELECT hsp_id, qseqid, sseqid, bitscore, (CASE WHEN send < sstart THEN sstart - (i - 1) ELSE sstart + i - 1 END)::INT AS position,
+CASE WHEN send < sstart THEN translate(upper(substr(qseq, i, 1)), 'ACGTN', 'TGCAN') ELSE upper(substr(qseq, i, 1)) END AS observed, CASE WHEN send < sstart THEN translate(upper(substr(sseq, i, 1)), 'ACGTN', 'TGCAN') ELSE upper(substr(sseq, i, 1)) END AS reference FROM i),
+e AS (SELECT DISTINCT sseqid, position, reference AS ref, observed AS alt FROM r WHERE observed <> reference), v AS (SELECT * FROM r WHERE bitscore IS NOT NULL AND NOT isnan(bitscore)),
+p AS (SELECT DISTINCT qid, sample FROM pieces), t AS (SELECT sample, sseqid, qseqid, sum(bitscore) AS total FROM (SELECT DISTINCT hsp_id, qseqid, sseqid, bitscore FROM v) JOIN p ON qid = qseqid GROUP BY ALL),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY sample, sseqid ORDER BY total DESC, qseqid) = 1),
+m AS (SELECT b.sample, v.sseqid, v.position, ref, alt, observed, reference, hsp_id, bitscore FROM v JOIN b USING (qseqid, sseqid) JOIN e ON e.sseqid = v.sseqid AND e.position = v.position
+QUALIFY row_number() OVER (PARTITION BY b.sample, v.sseqid, v.position, ref, alt ORDER BY bitscore DESC, hsp_id) = 1)
+SELECT sample, sseqid, position, sseqid || '_' || ref || position || alt AS symbol, observed, reference, hsp_id, reference = ref AND observed = alt AS mutant FROM m""",
     "counts_by_type": """SELECT upper(class) AS class, count(*) FILTER (element_type = 'AMR') AS AMR, count(*) FILTER (element_type = 'PLASMID') AS PLASMID, count(*) FILTER (element_type = 'STRESS') AS STRESS, count(*) FILTER (element_type = 'VIRULENCE') AS VIRULENCE
 FROM meta WHERE class <> '' AND element_type IS NOT NULL GROUP BY 1""",
 }
