@@ -93,9 +93,14 @@ def distance(value: str, phrases: list[str], edits: int, sure: bool = True) -> t
 
 
 def _grams(c: str, n: int) -> Column:
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.col(c), r"\.", ""), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i: F.substring(padded, i, F.lit(n)))
-    return F.explode(F.array_distinct(grams))
+    """The distinct n-grams of a normalised text with a blank on either side, as an array; dots don't count."""
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            padded = [f" {t.replace('.', '')} " for t in s]
+            yield pd.Series([sorted({p[i : i + n] for i in range(max(1, len(p) - n + 1))}) for p in padded])
+
+    return F.pandas_udf(run, "array<string>")(F.col(c))
 
 
 def _normal(df: DataFrame, text: str, digits: bool = True) -> DataFrame:
@@ -136,15 +141,17 @@ def canonicalise(
     """
     require(values, value)
     require(entries, entry_id, entry, *([required] if required else []))
+    if value.lower() in ("entry_id", "score"):
+        raise ValueError(f"a value column can't be named {value}, like a result column")
     phrases = F.col(q(required)) if required else F.lit(None).cast("array<string>")
     listed = _normal(entries.select(F.col(q(entry_id)).alias("entry"), F.col(q(entry)).alias("text"), phrases.alias("phrases")).where("trim(text) <> ''"), "text")
-    listed = materialize(listed.select("entry", "norm", "phrases"), "canonical-list")
+    listed = materialize(listed.select("entry", "norm", "phrases", _grams("norm", n).alias("grams")), "canonical-list")
     size = listed.count()
     digits = listed.where(F.col("norm").rlike("[0-9]")).limit(1).count() > 0
     own = _normal(values.select(F.col(q(value)).alias("value")).where("trim(value) <> ''").distinct(), "value", digits)
-    own = materialize(own.select(F.monotonically_increasing_id().alias("v"), "value", "norm"), "canonical-values")
+    own = materialize(own.select(F.monotonically_increasing_id().alias("v"), "value", "norm", _grams("norm", n).alias("grams")), "canonical-values")
 
-    posted = listed.select("entry", _grams("norm", n).alias("g"))
+    posted = listed.select("entry", F.explode("grams").alias("g"))
     weight = posted.groupBy("g").agg(F.log(F.lit(1.0) + F.lit(float(size)) / F.count(F.lit(1))).alias("w"))
     index = posted.join(weight, "g").select("g", "entry", (F.col("w") * F.col("w")).alias("w2"))
     length = index.groupBy("entry").agg(F.sqrt(F.sum("w2")).alias("e_len"))
@@ -154,9 +161,9 @@ def canonicalise(
     small = F.broadcast if few else lambda df: df
     rare = math.log(1.0 + size) ** 2
     # All of a value's n-grams arise in one task: its sums and its length need no further shuffle.
-    spread = own.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
+    spread = own.select("v", "grams").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
     sums = (
-        spread.select("v", _grams("norm", n).alias("g"))
+        spread.select("v", F.explode("grams").alias("g"))
         .join(small(index), "g", "left")
         .groupBy("v", "entry")
         .agg(F.sum(F.coalesce("w2", F.lit(rare))).alias("dot"))
