@@ -65,3 +65,25 @@ def called_genes(df: DataFrame, keys: Sequence[str], breadth: str, identity: str
 
     ok = df.where((F.col(q(breadth)) >= min_breadth) & (F.col(q(identity)) >= min_identity))
     return family_collapse(ok, keys, family, gene, F.struct(q(breadth), q(identity), q(depth), q(gene)), depth).where(F.col("depth") >= min_depth)
+
+
+def disrupted(hsps: DataFrame, rules: DataFrame, keys: Sequence[str], gene: str = "gene", *, organism: str | None = None, low: float = 20.0, high: float = 90.0) -> DataFrame:
+    """Genes of ``rules`` of which a key's longest single HSP covers at least ``low`` but less than ``high`` percent.
+
+    ``rules`` holds ``gene``, ``min_identity`` and ``organisms`` (an array; null allows any). HSPs below the gene's identity
+    don't count; HSPs are not merged. With ``organism`` (a column of ``hsps``) a rule applies only to its
+    organisms. ``keys``, ``gene``, ``coverage_pct``, ``pident``.
+    """
+    r = rules.select(F.col("gene").alias("_g"), "min_identity", "organisms")
+    span = F.abs(F.col("send") - F.col("sstart")) + 1
+    met = hsps.where(F.col("slen") > 0).join(r, (F.col(q(gene)) == F.col("_g")) & (F.col("pident") >= F.col("min_identity")))
+    if organism:
+        met = met.where(F.col("organisms").isNull() | F.array_contains("organisms", F.col(q(organism))))
+    best = met.groupBy(*[q(k) for k in keys], q(gene)).agg(F.max(F.struct((100.0 * span / F.col("slen")).alias("coverage_pct"), "pident")).alias("m"))
+    return best.select(*[q(k) for k in keys], q(gene), "m.*").where(F.col("coverage_pct").between(low, high) & (F.col("coverage_pct") < high))
+
+
+def divergent(hits: DataFrame, cutoffs: DataFrame, key: str, identity: str = "identity_pct") -> DataFrame:
+    """Hits whose identity lies below the cutoff of their ``key`` (``cutoffs``: the key and ``cutoff``); others have none."""
+    c = cutoffs.where("cutoff IS NOT NULL").groupBy(q(key)).agg(F.min("cutoff").alias("_cutoff"))
+    return hits.join(c, key).where(F.col(q(identity)) < F.col("_cutoff")).drop("_cutoff").select(*[q(x) for x in hits.columns])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainspark.functions.names import marker_stem
+from strainspark.functions.names import file_format, marker_stem
 from strainspark.functions.sequences import revcomp
-from strainspark.operators.calls import best_reference, called_genes, closest_alleles, marker_variants, read_stats, reference_coverage
+from strainspark.operators.calls import best_reference, called_genes, closest_alleles, disrupted, divergent, marker_variants, read_stats, reference_coverage
 from strainspark.operators.overlap import match_one_to_one
 from strainspark.operators.seeds import search
 from strainspark.plans.mutations import call_mutations, mutation_summary
@@ -85,7 +85,29 @@ def database_matches(spark, d):
     return match_one_to_one(h.where("database = 'resbase'"), h.where("database = 'plasdb'"), ["sample", "sequence"], "start", "end", "hit_id", width=2000)
 
 
-QUERIES = {f.__name__: f for f in (seed_search, reference_calls, allele_matches, marker_best, read_gene_calls, piece_read_stats, counts_by_type, mutation_calls, mutations_by_sample, database_matches)}
+def disrupted_genes(spark, d):
+    """Genes of which a sample's longest single alignment is cut off."""
+    m = table(spark, d, "meta").where("gene IS NOT NULL").select(F.col("seqid").alias("sseqid"), "gene").distinct()
+    p = table(spark, d, "pieces").where("sample IS NOT NULL").select(F.col("qid").alias("qseqid"), "sample").distinct()
+    h = table(spark, d, "hsps").join(m, "sseqid").join(p, "qseqid")
+    rules = m.select("gene").distinct().select("gene", F.lit(90.0).alias("min_identity"), F.lit(None).cast("array<string>").alias("organisms"))
+    out = disrupted(h, rules, ["sample"])
+    return out.select("sample", "gene", F.round("coverage_pct", 6).alias("coverage_pct"))
+
+
+def divergent_hits(spark, d):
+    """Hits below the mean identity of their gene's hits."""
+    h = hits(spark, d).where("gene IS NOT NULL AND identity_pct IS NOT NULL")
+    c = h.groupBy("gene").agg(F.floor(F.avg("identity_pct")).alias("cutoff"))
+    return divergent(h, c, "gene").select("hit_id", "gene", "identity_pct")
+
+
+def file_formats(spark, d):
+    s = table(spark, d, "samples").select(F.explode(F.array_compact(F.array("assembly", "r1", "r2"))).alias("path")).distinct()
+    return s.select("path", file_format(F.col("path")).alias("kind"))
+
+
+QUERIES = {f.__name__: f for f in (seed_search, reference_calls, allele_matches, marker_best, read_gene_calls, piece_read_stats, counts_by_type, mutation_calls, mutations_by_sample, database_matches, disrupted_genes, divergent_hits, file_formats)}
 
 _H = "h AS (SELECT * FROM hits QUALIFY hit_id IS NULL OR row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 SQL = {
@@ -111,6 +133,12 @@ b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY sample, sseqid ORD
 m AS (SELECT b.sample, v.sseqid, v.position, ref, alt, observed, reference, hsp_id, bitscore FROM v JOIN b USING (qseqid, sseqid) JOIN e ON e.sseqid = v.sseqid AND e.position = v.position
 QUALIFY row_number() OVER (PARTITION BY b.sample, v.sseqid, v.position, ref, alt ORDER BY bitscore DESC, hsp_id) = 1)
 SELECT sample, sseqid, position, sseqid || '_' || ref || position || alt AS symbol, observed, reference, hsp_id, reference = ref AND observed = alt AS mutant FROM m""",
+    "disrupted_genes": """WITH m AS (SELECT DISTINCT seqid, gene FROM meta WHERE gene IS NOT NULL), p AS (SELECT DISTINCT qid, sample FROM pieces WHERE sample IS NOT NULL),
+b AS (SELECT sample, gene, max(100.0 * (abs(send - sstart) + 1) / slen) AS c FROM hsps JOIN m ON seqid = sseqid JOIN p ON qid = qseqid WHERE slen > 0 AND pident >= 90 GROUP BY ALL)
+SELECT sample, gene, round(c, 6) AS coverage_pct FROM b WHERE c >= 20 AND c < 90""",
+    "divergent_hits": f"""WITH {_H}, v AS (SELECT hit_id, gene, identity_pct FROM h WHERE gene IS NOT NULL AND identity_pct IS NOT NULL), c AS (SELECT gene, floor(avg(identity_pct)) AS cutoff FROM v GROUP BY gene)
+SELECT hit_id, gene, identity_pct FROM v JOIN c USING (gene) WHERE identity_pct < cutoff""",
+    "file_formats": "SELECT DISTINCT path, CASE WHEN contains(path, '.fastq') THEN 'fastq' ELSE 'fasta' END AS kind FROM (SELECT unnest([assembly, r1, r2]) AS path FROM samples) WHERE path IS NOT NULL",
     "counts_by_type": """SELECT upper(class) AS class, count(*) FILTER (element_type = 'AMR') AS AMR, count(*) FILTER (element_type = 'PLASMID') AS PLASMID, count(*) FILTER (element_type = 'STRESS') AS STRESS, count(*) FILTER (element_type = 'VIRULENCE') AS VIRULENCE
 FROM meta WHERE class <> '' AND element_type IS NOT NULL GROUP BY 1""",
 }

@@ -4,10 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
-from strainspark.functions.names import marker_stem
+from strainspark.functions.names import file_format, marker_stem
 from strainspark.operators.alleles import allele_fractions
 from strainspark.operators.annotation import fill_from_group, prefix_related, transfer
-from strainspark.operators.calls import best_reference, closest_alleles, marker_variants, reference_coverage
+from strainspark.operators.calls import best_reference, closest_alleles, disrupted, divergent, marker_variants, reference_coverage
 from strainspark.operators.matrix import cell, matrix
 from strainspark.operators.profiles import allele_notation, lookup, nearest, scheme_scores
 from strainspark.operators.ranking import latest_records, preferred
@@ -124,3 +124,14 @@ def test_sketches(spark):
     d = {r["k"]: r for r in distances(sketches(df.where("k <> 'same'"), "k", "t", k=11, size=2000), sketches(df.where("k = 'same'").selectExpr("k AS r", "t"), "r", "t", k=11, size=2000), "k", "r", k=11, size=2000).collect()}
     assert set(d) == {"half"} or d["half"]["jaccard"] > d.get("far", {"jaccard": 0})["jaccard"]
     assert 0.2 < d["half"]["jaccard"] < 0.5 and d["half"]["distance"] > 0
+
+
+def test_disrupted_and_divergent(spark):
+    h = spark.createDataFrame([("s", "mgrB", "K", 1, 64, 100, 87.0), ("t", "mgrB", "E", 1, 64, 100, 87.0), ("u", "mgrB", None, 1, 64, 100, 87.0), ("v", "mgrB", "K", 1, 95, 100, 99.0), ("w", "mgrB", "K", 1, 64, 100, 70.0), ("x", "ompK", "K", 1, 50, 100, 99.0), ("y", "mgrB", "K", 1, 10, 100, 99.0)], "sample string, gene string, org string, sstart int, send int, slen int, pident double")
+    rules = spark.createDataFrame([("mgrB", 80.0, ["K"])], "gene string, min_identity double, organisms array<string>")
+    assert [(r["sample"], r["coverage_pct"]) for r in disrupted(h, rules, ["sample"], organism="org").collect()] == [("s", 64.0)]
+    hits = spark.createDataFrame([(1, "a", 90.0), (2, "a", 99.0), (3, "b", 10.0)], "id int, acc string, identity_pct double")
+    cut = spark.createDataFrame([("a", 95.0), ("a", 97.0), ("c", 1.0), ("b", None)], "acc string, cutoff double")
+    assert [r["id"] for r in divergent(hits, cut, "acc").collect()] == [1]
+    df = spark.createDataFrame([("x.fa.gz", None), ("x.FQ", None), ("x", " >a"), ("x.txt", "@r"), ("x", "z"), (None, ">")], "p string, h string")
+    assert [r[0] for r in df.select(file_format(F.col("p"), F.col("h"))).collect()] == ["fasta", "fastq", "fasta", "fastq", "", None]
