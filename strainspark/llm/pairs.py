@@ -141,6 +141,22 @@ class PairTable:
             new = old.unionByName(delta.withColumnRenamed("d", "n")).groupBy("bucket", *keys).agg(F.sum("n").alias("n")).where("n > 0")
             self._write(part, new, touched, batch)
 
+    def vacuum(self) -> None:
+        """Delete what no reader of the current version needs: older versions of buckets, and logs but the last."""
+        for part in PARTS:
+            fs, folder = self._fs(f"{self.path}/{part}")
+            live = {(str(v), str(b)) for b, v in self.manifest["at"][part].items()}
+            for version in fs.listStatus(folder) if fs.exists(folder) else []:
+                v = version.getPath().getName().partition("=")[2]
+                for bucket in fs.listStatus(version.getPath()):
+                    name = bucket.getPath().getName()
+                    if name.startswith("bucket=") and (v, name.partition("=")[2]) not in live:
+                        fs.delete(bucket.getPath(), True)
+        fs, folder = self._fs(f"{self.path}/log")
+        for log in fs.listStatus(folder) if fs.exists(folder) else []:
+            if log.getPath().getName() != f"v={self.manifest['batch']}":
+                fs.delete(log.getPath(), True)
+
     @property
     def total(self) -> int:
         """Baskets that hold an item."""

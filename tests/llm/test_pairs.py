@@ -43,6 +43,7 @@ def test_batches(spark):
             state[b] = m if replace else state.get(b, set()) | m
         table.apply(spark.createDataFrame(rows, "basket string, item string, S string"), "basket", "item", replace=replace)
         check(table, state)
+    table.vacuum()
     again = PairTable(spark, table.path)
     check(again, state)
     assert again.manifest["batch"] == 3
