@@ -34,11 +34,14 @@ def build_session(app: str = "strainspark", master: str | None = None, shuffle_p
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share.
 
-    Only where the session names none (tests in local mode) is a temporary folder made and set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder made and set;
+    on a cluster that is a ValueError.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="strainspark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
