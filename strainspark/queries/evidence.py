@@ -142,3 +142,5 @@ SELECT hit_id, gene, identity_pct FROM v JOIN c USING (gene) WHERE identity_pct
     "counts_by_type": """SELECT upper(class) AS class, count(*) FILTER (element_type = 'AMR') AS AMR, count(*) FILTER (element_type = 'PLASMID') AS PLASMID, count(*) FILTER (element_type = 'STRESS') AS STRESS, count(*) FILTER (element_type = 'VIRULENCE') AS VIRULENCE
 FROM meta WHERE class <> '' AND element_type IS NOT NULL GROUP BY 1""",
 }
+SQL["mutations_by_sample"] = f"""SELECT sample, count(*) AS n_sites, count(*) FILTER (mutant) AS n_mutant, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (mutant), '') AS mutants
+FROM ({SQL["mutation_calls"]}) GROUP BY sample"""

@@ -112,6 +112,7 @@ FROM (SELECT DISTINCT hsp_id, qseqid, nident, bitscore, send, sstart FROM hsps W
     "sample_sheet": "SELECT DISTINCT nullif(sample, '') AS sample, nullif(assembly, '') AS assembly, nullif(r1, '') AS r1, nullif(r2, '') AS r2 FROM samples WHERE sample <> '' AND coalesce(nullif(assembly, ''), nullif(r1, '')) IS NOT NULL AND NOT (r2 IS NOT NULL AND r1 IS NULL)",
     "meta_text": "SELECT coalesce(seqid, '') AS seqid, coalesce(gene, '') AS gene, coalesce(accession, '') AS accession, coalesce(fam_id, '') AS fam_id FROM meta",
     "profile_table_long": f"WITH {_H} SELECT sample AS st, database AS locus, count(*)::VARCHAR AS allele FROM h WHERE sample IS NOT NULL AND database IN ('oldargs', 'plasdb', 'resbase') GROUP BY ALL",
+    "hits_long": f"WITH {_H} SELECT sample, gene, drug_class AS class, \"start\", \"end\", round_even(coverage_pct, 2) AS coverage_pct, round_even(identity_pct, 2) AS identity_pct, \"primary\" FROM h WHERE depth IS NULL",
     "hits_elements": f"WITH {_H} SELECT sample, gene AS element, \"start\", \"end\", abs(\"end\" - \"start\") + 1 AS target_length, try_cast(string_split(coverage, '/')[-1] AS INT) AS reference_length FROM h",
     "hits_json": f"WITH {_H} SELECT sample, count(*) AS n, sum(\"start\")::BIGINT AS starts FROM h WHERE \"start\" IS NOT NULL AND sample IS NOT NULL GROUP BY sample",
     "event_counts_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",

@@ -177,6 +177,8 @@ SELECT gene, initial, row_number() OVER (PARTITION BY initial ORDER BY key)::INT
     "headers": "SELECT seqid, trim(gene) AS gene, trim(accession) AS accession, trim(product, ' ') AS product FROM meta WHERE gene IS NOT NULL AND accession IS NOT NULL AND product IS NOT NULL",
     "sample_files": """SELECT DISTINCT sample, regexp_replace(regexp_replace(assembly, '^.*/', ''), '[.]fna$', '') AS from_assembly, regexp_replace(regexp_replace(r1, '^.*/', ''), '_R1[.]fastq[.]gz$', '') AS from_reads,
 CASE WHEN r2 IS NOT NULL THEN 2 END::INT AS mate, replace(species, ' ', '_') AS safe FROM samples""",
+    "paired_reads": """WITH f AS (SELECT DISTINCT unnest([r1, r2]) AS path FROM samples), m AS (SELECT path, regexp_replace(regexp_replace(path, '^.*/', ''), '[.](fastq|fq)[.]gz$', '') AS base FROM f WHERE path IS NOT NULL)
+SELECT regexp_replace(base, '_R[12]$', '') AS stem, min(path) FILTER (ends_with(base, '_R1')) AS r1, min(path) FILTER (ends_with(base, '_R2')) AS r2 FROM m GROUP BY 1""",
     "coverage_glyphs": """WITH h AS (SELECT DISTINCT hit_id, coverage FROM hits), s AS (SELECT *, try_cast(string_split(coverage, '/')[-1] AS INT) AS n, string_split(regexp_replace(coverage, '/[^/]*$', ''), ',') AS p FROM h)
 SELECT hit_id, CASE WHEN coverage IS NOT NULL THEN CASE WHEN contains(coverage, '/') AND n > 0 THEN list_aggregate(list_transform(range(0, 15), lambda i: CASE WHEN len(list_filter(p, lambda x: i * n // 15 + 1 BETWEEN try_cast(string_split(x, '-')[1] AS INT) AND try_cast(string_split(x, '-')[-1] AS INT))) > 0 THEN '=' ELSE '.' END), 'string_agg', '') ELSE '' END END AS glyph FROM s""",
     "coverage_strings": """WITH m AS (SELECT DISTINCT merged_id, slen, subject_intervals FROM merged_hits WHERE len(subject_intervals) > 0 AND slen IS NOT NULL AND merged_id IS NOT NULL)
