@@ -103,6 +103,32 @@ def _grams(c: str, n: int) -> Column:
     return F.pandas_udf(run, "array<string>")(F.col(c))
 
 
+def _pairs(c: str) -> Column:
+    """The distinct pairs of neighbouring letters and digits of a normalised text without its blanks and dots, as an array."""
+
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in it:
+            bare = [re.sub(r"[\W_]", "", t) for t in s]
+            yield pd.Series([sorted({p[i : i + 2] for i in range(len(p) - 1)}) for p in bare])
+
+    return F.pandas_udf(run, "array<string>")(F.col(c))
+
+
+def _may_hold(phrases: Column, pairs: Column, edits: int, sure: Column) -> Column:
+    """False only where :func:`distance` of a value without abbreviations is None: an edit takes at most three of a
+    phrase's pairs of letters from the value, and finding it word by word those between two words."""
+
+    def kept(p: Column) -> Column:
+        whole = F.replace(p, F.lit(" "), F.lit(""))
+        n = F.length(whole)
+        own = F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+        budget = F.least(F.lit(edits), F.floor(n / F.when(sure, 3).otherwise(4)))
+        between = F.size(F.split(F.trim(p), " +")) - 1
+        return F.size(F.array_intersect(own, pairs)) >= F.size(own) - 3 * budget - between
+
+    return F.coalesce(F.forall(phrases, kept), F.lit(True))
+
+
 def _normal(df: DataFrame, text: str, digits: bool = True) -> DataFrame:
     def clean(t: str) -> str:
         t = normalise(t)
@@ -129,8 +155,9 @@ def canonicalise(
        ln(1 + entries / entries that have it), and one that no entry has like the rarest. Where no
        entry has a digit, words with digits (accessions, numbers of copies) are left out of the values.
     3. Candidates below ``threshold`` fall away. With ``required`` (a column with the phrases that a
-       value must hold), so do those whose phrases the value doesn't hold within ``edits`` edits each
-       (:func:`distance`; fewer where the cosine is below ``sure``), and the fewest edits win.
+       value must hold) the cosine drops none, as all that a value says besides lowers it: those fall away
+       whose phrases the value doesn't hold within ``edits`` edits each (:func:`distance`; fewer where
+       the cosine is below ``sure``), and the fewest edits win.
     4. The best is accepted if it leads the next one (with as few edits) by ``margin``; a closer race is
        no match. With ``several`` all candidates left are accepted, but of those found in one place of
        the value only the one with the fewest edits.
@@ -149,7 +176,8 @@ def canonicalise(
     size = listed.count()
     digits = listed.where(F.col("norm").rlike("[0-9]")).limit(1).count() > 0
     own = _normal(values.select(F.col(q(value)).alias("value")).where("trim(value) <> ''").distinct(), "value", digits)
-    own = materialize(own.select(F.monotonically_increasing_id().alias("v"), "value", "norm", _grams("norm", n).alias("grams")), "canonical-values")
+    own = own.select(F.monotonically_increasing_id().alias("v"), "value", "norm", _grams("norm", n).alias("grams"), *([_pairs("norm").alias("pairs")] if required else []))
+    own = materialize(own, "canonical-values")
 
     posted = listed.select("entry", F.explode("grams").alias("g"))
     weight = posted.groupBy("g").agg(F.log(F.lit(1.0) + F.lit(float(size)) / F.count(F.lit(1))).alias("w"))
@@ -170,7 +198,7 @@ def canonicalise(
         .withColumn("v_len", F.sqrt(F.max(F.when(F.col("entry").isNull(), F.col("dot"))).over(Window.partitionBy("v"))))
         .where("entry IS NOT NULL")
     )
-    scored = sums.join(small(length), "entry").select("v", "entry", (F.col("dot") / (F.col("v_len") * F.col("e_len"))).alias("score")).where(F.col("score") >= threshold)
+    scored = sums.join(small(length), "entry").select("v", "entry", (F.col("dot") / (F.col("v_len") * F.col("e_len"))).alias("score"))
     if required:
 
         def check(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,10 +207,11 @@ def canonicalise(
                 yield block[["v", "entry", "score"]].assign(d=pd.array([x[0] for x in d], dtype="Int32"), lo=[x[1] for x in d], hi=[x[2] for x in d])
 
         kind = listed.schema["entry"].dataType.simpleString()
-        scored = scored.join(own.select("v", "norm"), "v").join(small(listed.select("entry", "phrases")), "entry")
+        scored = scored.join(own.select("v", "norm", "pairs"), "v").join(small(listed.select("entry", "phrases")), "entry")
+        scored = scored.where(F.col("norm").rlike(r"\.( |$)") | _may_hold(F.col("phrases"), F.col("pairs"), edits, F.col("score") >= sure))
         scored = scored.select("v", "entry", "score", "norm", "phrases").mapInPandas(check, f"v bigint, entry {kind}, score double, d int, lo int, hi int").where("d IS NOT NULL")
     else:
-        scored = scored.select("*", *[F.lit(0).alias(c) for c in ("d", "lo", "hi")])
+        scored = scored.where(F.col("score") >= threshold).select("*", *[F.lit(0).alias(c) for c in ("d", "lo", "hi")])
     if several and required:
         # Of two that were found in one place, the one with fewer edits stays.
         rivals = scored.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("d", (-F.col("score")).alias("less"), "entry", "lo", "hi"))).alias("m"))

@@ -29,6 +29,19 @@ def test_required(spark):
     assert got == {"bekaoln fam. permease": 1, "reviarine hydrolase of Bekalon": 2, "Bekalon family efflux pump": None, "Zuradon family hydrolase": None, "kinase, sensor Kudutas": 3, "KUDUTAS SENS. KINSE": 3}
 
 
+def test_required_whatever_the_cosine(spark):
+    """Text around the phrases lowers the cosine far below the threshold; the entry is that of the check over all entries."""
+    families, acts = ("fupigus", "bekalon", "kudutas", "ginosox", "valomas", "nidivur"), ("chromate permease", "sensor kinase", "efflux pump", "hydrolase")
+    listed = [(i, f"{f} family class A {c} {a}", [f, a]) for i, (f, c, a) in enumerate(((f, c, a) for f in families for c, a in zip(("reviarine", "sofeozin", "nusaozin", "pasuetin"), acts)), 1)]
+    e = spark.createDataFrame(listed, "entry_id int, entry string, need array<string>")
+    wrapped = [w.format(x) for x in ("Fuipgus fam. chrom. permease", "bekaoln hydrolase", "kudtuas sens. kinase", "Zuradon fam. chrom. permease", "Ginosox fam. chrom. phosphotransferase") for w in ("{}", "predicted: MULTI: {}", "conserved hypothetical low quality protein: putative {} [fragment] (partial)")]
+    v = spark.createDataFrame([(x,) for x in wrapped], "v string")
+    rows = {r["v"]: (r["entry_id"], r["score"]) for r in canonicalise(v, "v", e, required="need").collect()}
+    assert min(s for _, s in rows.values() if s) < 0.3
+    found = {x: [i for i, _, p in listed if distance(normalise(x), p, 2, False)] for x in wrapped}
+    assert {x: [i] if i else [] for x, (i, _) in rows.items()} == found and sum(map(len, found.values())) == 9
+
+
 def test_several(spark):
     e = spark.createDataFrame([(1, "SOFEOZIN", ["sofeozin"]), (2, "GOFUULFAN", ["gofuulfan"]), (3, "DUGOULFAN", ["dugoulfan"])], "entry_id int, entry string, need array<string>")
     v = spark.createDataFrame([("sofeozin + DUGO-ULFAN",), ("dugoulfan",), ("SOFEOZ.",), ("other",)], "v string")
