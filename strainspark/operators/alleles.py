@@ -31,10 +31,24 @@ def base_counts(df: DataFrame, keys: Sequence[str], token: str) -> DataFrame:
     )
 
 
-def consensus(df: DataFrame, keys: Sequence[str], position: str, base: str, depth: str, *, min_depth: int = 1) -> DataFrame:
+def consensus(df: DataFrame, keys: Sequence[str], position: str, base: str, depth: str, *, min_depth: int = 1, length: str | None = None) -> DataFrame:
     """Per key the bases in order of position as one string (N below ``min_depth`` or without a base), and how many
-    were called. A key's positions are one reference's, so the array is as long as that reference."""
+    were called. A key's positions are one reference's, so the array is as long as that reference.
+
+    Without ``length`` places without a row are left out of the string. With it (a column, the reference's length,
+    the same in all rows of a key) they are N, and the base of position p is the string's p-th; positions beyond
+    the length (or all, if it is null) still count, positions below 1 don't.
+    """
     called = F.when((F.col(q(depth)) >= min_depth) & F.col(q(base)).isNotNull(), F.col(q(base))).otherwise("N")
+    if length:
+        at = F.col(q(position))
+        # collect_list drops nulls.
+        there = F.map_from_entries(F.collect_list(F.when(at >= 1, F.struct(at.cast("int").alias("p"), called.alias("b")))))
+        last = F.greatest(F.max(F.col(q(length))), F.max(at)).cast("int")
+        n = df.groupBy(*[q(k) for k in keys]).agg(there.alias("_there"), last.alias("_last"), F.count_if((called != "N") & (at >= 1)).alias("n_called"))
+        places = F.when(F.col("_last") >= 1, F.sequence(F.lit(1), F.greatest("_last", F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        full = F.array_join(F.transform(places, lambda i: F.coalesce(F.try_element_at("_there", i), F.lit("N"))), "")
+        return n.select(*[q(k) for k in keys], full.alias("consensus"), "n_called")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(q(position)).alias("p"), called.alias("b"))))
     return df.groupBy(*[q(k) for k in keys]).agg(F.array_join(F.transform(ordered, lambda x: x.b), "").alias("consensus"), F.count_if(called != "N").alias("n_called"))
 

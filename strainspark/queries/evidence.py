@@ -12,7 +12,7 @@ from strainspark.operators.seeds import search
 from strainspark.plans.mutations import call_mutations, mutation_summary
 from strainspark.queries.joins import merged
 from strainspark.queries.ranked import hits
-from strainspark.queries.strings import aligned, consensus_sequences, residues
+from strainspark.queries.strings import aligned, consensus_full, reference_lengths, residues
 from strainspark.queries.tables import table
 
 
@@ -33,10 +33,15 @@ def reference_calls(spark, d):
 
 
 def allele_matches(spark, d):
-    """Consensus of each reference against the aligned reference strings of the same database and length."""
+    """Full-length consensus of each reference against the aligned reference strings, put at their place in their own
+    reference's length (N around them), of the same database and length."""
     database = F.regexp_extract("sseqid", "^(.*)_[^_]*$", 1)
-    c = consensus_sequences(spark, d).select("sseqid", database.alias("database"), F.col("consensus").alias("seq"))
-    a = aligned(spark, d).select(database.alias("database"), F.concat_ws("#", "sseqid", "hsp_id").alias("allele"), F.when(F.col("send") < F.col("sstart"), revcomp(F.col("sseq"))).otherwise(F.col("sseq")).alias("seq"))
+    c = consensus_full(spark, d).select("sseqid", database.alias("database"), F.col("consensus").alias("seq"))
+    bare = F.replace("sseq", F.lit("-"))
+    lead = F.repeat(F.lit("N"), F.least("sstart", "send") - 1)
+    placed = F.concat(lead, F.when(F.col("send") < F.col("sstart"), revcomp(bare)).otherwise(bare))
+    a = aligned(spark, d).join(reference_lengths(spark, d), "sseqid", "left")
+    a = a.select(database.alias("database"), F.concat_ws("#", "sseqid", "hsp_id").alias("allele"), F.rpad(placed, F.greatest(F.length(placed), F.col("slen")), F.lit("N")).alias("seq"))
     return closest_alleles(c, a, ["sseqid"], "database")
 
 

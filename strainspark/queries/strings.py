@@ -65,9 +65,20 @@ def site_counts(spark, d):
 
 
 def consensus_sequences(spark, d):
+    """The covered places only, without those between them; consensus_full has all places."""
     return consensus(site_counts(spark, d), ["sseqid"], "position", "base", "depth")
 
 
+def reference_lengths(spark, d):
+    return table(spark, d, "hsps").where("slen > 0").groupBy("sseqid").agg(F.max("slen").alias("slen"))
+
+
+def consensus_full(spark, d):
+    """Consensus in each reference's own length, N where nothing is aligned."""
+    s = site_counts(spark, d).join(reference_lengths(spark, d), "sseqid", "left")
+    return consensus(s, ["sseqid"], "position", "base", "depth", length="slen")
+
+
 def site_fractions(spark, d):
     """Share of the rows that differ at each covered place, its p-value and status."""
     f = allele_fractions(residues(spark, d), ["sseqid", "position"], F.col("observed") != F.col("reference"), min_depth=2)
@@ -139,7 +150,7 @@ def text_pieces(spark, d):
     return t.select("doc_id", "piece_offset", F.length("piece").alias("n"), F.md5("piece").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (revcomp, translated, composition, alignment_walk, mutation_symbols, codon_changes, site_counts, consensus_sequences, site_fractions, binomial_tail, sequence_distances, natural_sort, gene_keys, inferred_classes, headers, sample_files, paired_reads, coverage_glyphs, coverage_strings, text_pieces)}
+QUERIES = {f.__name__: f for f in (revcomp, translated, composition, alignment_walk, mutation_symbols, codon_changes, site_counts, consensus_sequences, consensus_full, site_fractions, binomial_tail, sequence_distances, natural_sort, gene_keys, inferred_classes, headers, sample_files, paired_reads, coverage_glyphs, coverage_strings, text_pieces)}
 
 _A = "a AS (SELECT hsp_id, sseqid, qseq, sseq, sstart, send FROM hsps WHERE qseq IS NOT NULL AND sseq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hsp_id) = 1)"
 # Alignment strings of these tables have no gaps in the subject; minus strands are complemented.
@@ -164,6 +175,9 @@ SELECT hsp_id, position, (f // 3 + 1)::INT AS codon, coalesce(map_extract(codons
 SELECT *, CASE WHEN n_t > 0 AND n_t >= greatest(n_a, n_c, n_g) THEN 'T' WHEN n_g > 0 AND n_g >= greatest(n_a, n_c) THEN 'G' WHEN n_c > 0 AND n_c >= n_a THEN 'C' WHEN n_a > 0 THEN 'A' END AS base FROM n""",
     "consensus_sequences": f"""WITH {_R}, n AS (SELECT sseqid, position, observed, count(*) AS k FROM r WHERE observed IN ('A', 'C', 'G', 'T') GROUP BY ALL), b AS (SELECT sseqid, position, observed FROM n QUALIFY row_number() OVER (PARTITION BY sseqid, position ORDER BY k DESC, observed DESC) = 1),
 p AS (SELECT DISTINCT sseqid, position FROM r) SELECT sseqid, string_agg(coalesce(observed, 'N'), '' ORDER BY position) AS consensus, count(observed) AS n_called FROM p LEFT JOIN b USING (sseqid, position) GROUP BY sseqid""",
+    "consensus_full": f"""WITH {_R}, n AS (SELECT sseqid, position, observed, count(*) AS k FROM r WHERE observed IN ('A', 'C', 'G', 'T') AND position >= 1 GROUP BY ALL), b AS (SELECT sseqid, position, observed FROM n QUALIFY row_number() OVER (PARTITION BY sseqid, position ORDER BY k DESC, observed DESC) = 1),
+l AS (SELECT sseqid, max(slen) AS slen FROM hsps WHERE slen > 0 GROUP BY sseqid), m AS (SELECT sseqid, greatest(max(position), max(slen)) AS n FROM r LEFT JOIN l USING (sseqid) GROUP BY sseqid),
+p AS (SELECT sseqid, unnest(range(1, n + 1)) AS position FROM m) SELECT sseqid, string_agg(coalesce(observed, 'N'), '' ORDER BY position) AS consensus, count(observed) AS n_called FROM p LEFT JOIN b USING (sseqid, position) GROUP BY sseqid""",
     "site_fractions": f"""WITH {_R}, n AS (SELECT sseqid, position, count(*)::INT AS depth, count(*) FILTER (observed <> reference)::INT AS n_alt FROM r GROUP BY ALL)
 SELECT sseqid, position, depth, n_alt, round(n_alt / depth, 6) AS fraction,
 round(CASE WHEN n_alt = 0 THEN 1.0 ELSE list_sum(list_transform(range(n_alt, depth + 1), lambda i: exp(lgamma(depth + 1) - lgamma(i + 1) - lgamma(depth - i + 1) + i * ln(0.002) + (depth - i) * ln(0.998)))) END, 9) AS p_value,

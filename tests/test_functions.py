@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F
 
 from strainspark.functions import names, sequences, stats
-from strainspark.operators.alleles import base_counts
+from strainspark.operators.alleles import base_counts, consensus
 from strainspark.operators.summaries import length_stats
 
 
@@ -83,6 +83,12 @@ def test_pileup_tokens(spark):
     assert (got[1]["n_a"], got[1]["n_t"], got[1]["n_indel"], got[1]["depth"], got[1]["base"]) == (2, 1, 3, 5, "A") and got[2]["base"] is None
 
 
+def test_consensus_has_the_length_of_its_reference(spark):
+    df = spark.createDataFrame([("x", 3, "A", 2, 8), ("x", 4, "C", 1, 8), ("x", 6, "G", 2, 8), ("y", 2, None, 1, None), ("y", 0, "T", 9, None)], "k string, p int, b string, n int, slen int")
+    got = {r["k"]: (r["consensus"], r["n_called"]) for r in consensus(df, ["k"], "p", "b", "n", min_depth=2, length="slen").collect()}
+    assert got == {"x": ("NNANNGNN", 2), "y": ("NN", 0)}
+
+
 def test_length_stats(spark):
     df = spark.createDataFrame([("a", n) for n in (80, 70, 50, 40, 30, 20)] + [("b", 5), ("b", None), ("b", 0)], "k string, n int")
     got = {r["k"]: (r["n"], r["total"], r["largest"], r["n50"], r["n90"]) for r in length_stats(df, ["k"], "n").collect()}
