@@ -41,6 +41,20 @@ def test_exact_match_places(spark):
     assert r["nident"] >= 45 and r["qstart"] <= 3 <= r["qend"] and r["sstart"] - r["qstart"] == 3
 
 
+def test_matches_are_extended_on_both_strands(spark):
+    other = lambda b: "ACGT"[("ACGT".index(b) + 1) % 4]
+    s = dna(80)
+    t = s[10:40]
+    t = t[:15] + other(t[15]) + t[16:]  # two of 30 bases differ, no seeded span of 20
+    t = t[:4] + other(t[4]) + t[5:15] + t[15:]
+    minus = s[30:70][::-1].translate(str.maketrans("ACGT", "TGCA"))
+    x = spark.createDataFrame([("f", t), ("r", minus)], "qseqid string, seq string")
+    got = {r["qseqid"]: r for r in search(x, spark.createDataFrame([("s", s)], "sseqid string, seq string"), k=11).collect()}
+    f, r = got["f"], got["r"]
+    assert (f["qstart"], f["qend"], f["sstart"], f["send"], f["length"], f["nident"]) == (1, 30, 11, 40, 30, 28)
+    assert (r["qstart"], r["qend"], r["sstart"], r["send"], r["nident"]) == (1, 40, 70, 31, 40)
+
+
 def test_cassette_coverage(spark):
     df = spark.createDataFrame([("x", "II(2A)", 1, 5000, 10000), ("x", "II(2A)", 4900, 9800, 10000), ("x", "IV", 1, 9799, 10000), ("y", "II(2A)", 1, 2100, 10000)], "sample string, ref string, lo int, hi int, n int")
     c = reference_coverage(df, ["sample"], "ref", "lo", "hi", "n")
