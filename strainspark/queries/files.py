@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strainspark.operators.wide import attributes
 from strainspark.queries.ranked import hits
 from strainspark.queries.strings import aligned
 from strainspark.queries.tables import table
@@ -51,8 +52,16 @@ def meta_text(spark, d):
     return read_table(spark, path, ["seqid", "gene"])
 
 
-def profile_table_long(spark, d):
+def profile_table_all(spark, d):
     """hits per database as a wide table of counts by sample, in long form again."""
+    h = hits(spark, d).where("sample IS NOT NULL AND database IS NOT NULL")
+    names = attributes(h, "database")
+    wide = h.groupBy("sample").pivot("database", names).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).cast("string"))
+    return long_profiles(wide.fillna(""), "sample", names)
+
+
+def profile_table_long(spark, d):
+    """profile_table_all of three databases only, as its SQL has them."""
     h = hits(spark, d).where("sample IS NOT NULL").groupBy("sample").pivot("database", ["oldargs", "plasdb", "resbase"]).agg(F.nullif(F.count(F.lit(1)), F.lit(0)).cast("string"))
     return long_profiles(h.fillna(""), "sample", ["oldargs", "plasdb", "resbase"])
 
@@ -101,7 +110,7 @@ def arrivals_by_batch(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("database string, n bigint, batch int").parquet(f"{path}/out").groupBy("database").agg(F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fasta_round_trip, fastq_round_trip, hsp_text_round_trip, sample_sheet, meta_text, profile_table_long, hits_long, hits_elements, hits_json, event_counts_stream, arrivals_by_batch)}
+QUERIES = {f.__name__: f for f in (fasta_round_trip, fastq_round_trip, hsp_text_round_trip, sample_sheet, meta_text, profile_table_all, profile_table_long, hits_long, hits_elements, hits_json, event_counts_stream, arrivals_by_batch)}
 
 _H = "h AS (SELECT * FROM hits QUALIFY hit_id IS NULL OR row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 SQL = {
@@ -111,6 +120,7 @@ SQL = {
 FROM (SELECT DISTINCT hsp_id, qseqid, nident, bitscore, send, sstart FROM hsps WHERE qseqid <> '' AND sseqid IS NOT NULL AND (bitscore IS NULL OR NOT isnan(bitscore))) GROUP BY qseqid""",
     "sample_sheet": "SELECT DISTINCT nullif(sample, '') AS sample, nullif(assembly, '') AS assembly, nullif(r1, '') AS r1, nullif(r2, '') AS r2 FROM samples WHERE sample <> '' AND coalesce(nullif(assembly, ''), nullif(r1, '')) IS NOT NULL AND NOT (r2 IS NOT NULL AND r1 IS NULL)",
     "meta_text": "SELECT coalesce(seqid, '') AS seqid, coalesce(gene, '') AS gene, coalesce(accession, '') AS accession, coalesce(fam_id, '') AS fam_id FROM meta",
+    "profile_table_all": f"WITH {_H} SELECT sample AS st, database AS locus, count(*)::VARCHAR AS allele FROM h WHERE sample IS NOT NULL AND database IS NOT NULL GROUP BY ALL",
     "profile_table_long": f"WITH {_H} SELECT sample AS st, database AS locus, count(*)::VARCHAR AS allele FROM h WHERE sample IS NOT NULL AND database IN ('oldargs', 'plasdb', 'resbase') GROUP BY ALL",
     "hits_long": f"WITH {_H} SELECT sample, gene, drug_class AS class, \"start\", \"end\", round_even(coverage_pct, 2) AS coverage_pct, round_even(identity_pct, 2) AS identity_pct, \"primary\" FROM h WHERE depth IS NULL",
     "hits_elements": f"WITH {_H} SELECT sample, gene AS element, \"start\", \"end\", abs(\"end\" - \"start\") + 1 AS target_length, try_cast(string_split(coverage, '/')[-1] AS INT) AS reference_length FROM h",

@@ -49,6 +49,14 @@ def test_tables(spark, tmp_path):
     assert sorted(r["reason"] for r in bad.collect()) == ["no file", "no sample"]
 
 
+def test_profile_table_has_every_database(spark, data):
+    from strainspark.queries.files import profile_table_all
+
+    h = spark.read.parquet(f"{data}/hits.parquet").where("sample IS NOT NULL AND database IS NOT NULL")
+    want = {r[0] for r in h.select("database").distinct().collect()}
+    assert len(want) > 3 and {r["locus"] for r in profile_table_all(spark, data).select("locus").distinct().collect()} == want
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith("file:/")
     path = scratch(spark, "x")
