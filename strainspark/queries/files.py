@@ -66,7 +66,12 @@ def profile_table_long(spark, d):
     return long_profiles(h.fillna(""), "sample", ["oldargs", "plasdb", "resbase"])
 
 
+def hits_long_all(spark, d):
+    return long_table(hits(spark, d)).select("sample", "gene", "class", "start", "end", "coverage_pct", "identity_pct", "depth", "allele_fraction", "primary")
+
+
 def hits_long(spark, d):
+    """The hits without a depth only, as its SQL has them; hits_long_all has all."""
     return long_table(hits(spark, d).where("depth IS NULL")).select("sample", "gene", "class", "start", "end", "coverage_pct", "identity_pct", "primary")
 
 
@@ -74,11 +79,19 @@ def hits_elements(spark, d):
     return element_table(hits(spark, d)).select("sample", "element", "start", "end", "target_length", "reference_length")
 
 
+def _read_back(hits: DataFrame) -> DataFrame:
+    back = sample_documents(hits).select("sample", F.explode(F.from_json("document", "hits array<struct<gene:string,start:int>>")["hits"]).alias("h"))
+    return back.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("h.start", F.lit(0))).alias("starts"))
+
+
+def hits_json_all(spark, d):
+    """Genes of each sample, read back from its JSON document; a null start counts as 0."""
+    return _read_back(hits(spark, d))
+
+
 def hits_json(spark, d):
-    """Genes of each sample, read back from its JSON document."""
-    doc = sample_documents(hits(spark, d).where("start IS NOT NULL"))
-    back = doc.select("sample", F.explode(F.from_json("document", "hits array<struct<gene:string,start:int>>")["hits"]).alias("h"))
-    return back.groupBy("sample").agg(F.count(F.lit(1)).alias("n"), F.sum("h.start").alias("starts"))
+    """Only the hits with a start, as its SQL has them; hits_json_all has all."""
+    return _read_back(hits(spark, d).where("start IS NOT NULL"))
 
 
 def event_counts_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -110,7 +123,7 @@ def arrivals_by_batch(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("database string, n bigint, batch int").parquet(f"{path}/out").groupBy("database").agg(F.sum("n").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fasta_round_trip, fastq_round_trip, hsp_text_round_trip, sample_sheet, meta_text, profile_table_all, profile_table_long, hits_long, hits_elements, hits_json, event_counts_stream, arrivals_by_batch)}
+QUERIES = {f.__name__: f for f in (fasta_round_trip, fastq_round_trip, hsp_text_round_trip, sample_sheet, meta_text, profile_table_all, profile_table_long, hits_long_all, hits_long, hits_elements, hits_json_all, hits_json, event_counts_stream, arrivals_by_batch)}
 
 _H = "h AS (SELECT * FROM hits QUALIFY hit_id IS NULL OR row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 SQL = {
@@ -122,8 +135,10 @@ FROM (SELECT DISTINCT hsp_id, qseqid, nident, bitscore, send, sstart FROM hsps W
     "meta_text": "SELECT coalesce(seqid, '') AS seqid, coalesce(gene, '') AS gene, coalesce(accession, '') AS accession, coalesce(fam_id, '') AS fam_id FROM meta",
     "profile_table_all": f"WITH {_H} SELECT sample AS st, database AS locus, count(*)::VARCHAR AS allele FROM h WHERE sample IS NOT NULL AND database IS NOT NULL GROUP BY ALL",
     "profile_table_long": f"WITH {_H} SELECT sample AS st, database AS locus, count(*)::VARCHAR AS allele FROM h WHERE sample IS NOT NULL AND database IN ('oldargs', 'plasdb', 'resbase') GROUP BY ALL",
+    "hits_long_all": f"WITH {_H} SELECT sample, gene, drug_class AS class, \"start\", \"end\", round_even(coverage_pct, 2) AS coverage_pct, round_even(identity_pct, 2) AS identity_pct, round_even(depth, 2) AS depth, round_even(allele_fraction, 4) AS allele_fraction, \"primary\" FROM h",
     "hits_long": f"WITH {_H} SELECT sample, gene, drug_class AS class, \"start\", \"end\", round_even(coverage_pct, 2) AS coverage_pct, round_even(identity_pct, 2) AS identity_pct, \"primary\" FROM h WHERE depth IS NULL",
     "hits_elements": f"WITH {_H} SELECT sample, gene AS element, \"start\", \"end\", abs(\"end\" - \"start\") + 1 AS target_length, try_cast(string_split(coverage, '/')[-1] AS INT) AS reference_length FROM h",
+    "hits_json_all": f"WITH {_H} SELECT sample, count(*) AS n, sum(coalesce(\"start\", 0))::BIGINT AS starts FROM h WHERE sample IS NOT NULL GROUP BY sample",
     "hits_json": f"WITH {_H} SELECT sample, count(*) AS n, sum(\"start\")::BIGINT AS starts FROM h WHERE \"start\" IS NOT NULL AND sample IS NOT NULL GROUP BY sample",
     "event_counts_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(DISTINCT event_id) AS n FROM events GROUP BY ALL",
     "arrivals_by_batch": "SELECT database, count(*) AS n FROM hits WHERE \"primary\" GROUP BY database",

@@ -57,6 +57,17 @@ def test_profile_table_has_every_database(spark, data):
     assert len(want) > 3 and {r["locus"] for r in profile_table_all(spark, data).select("locus").distinct().collect()} == want
 
 
+def test_every_hit_is_in_the_long_table_and_the_documents(spark, data):
+    from strainspark.queries.files import hits_json_all, hits_long_all
+    from strainspark.queries.ranked import hits
+
+    h = hits(spark, data)
+    n, deep, named, bare = h.selectExpr("count(*)", "count(depth)", "count(sample)", "count_if(sample IS NOT NULL AND start IS NULL)").first()
+    assert deep and bare
+    assert tuple(hits_long_all(spark, data).selectExpr("count(*)", "count(depth)").first()) == (n, deep)
+    assert hits_json_all(spark, data).selectExpr("sum(n)").first()[0] == named
+
+
 def test_shared_folder(spark):
     assert shared_dir(spark).startswith("file:/")
     path = scratch(spark, "x")
