@@ -49,7 +49,7 @@ def lookup(calls: DataFrame, profiles: DataFrame, sample: str, st: str, locus: s
     fit = met.where((F.col("n_shared") == F.col("_calls")) & (F.col("_loci") - F.col("n_shared") <= missing))
     sts = fit.groupBy(q(sample)).agg(F.sort_array(F.collect_list(q(st))).alias("_s"))
     all_samples = calls.select(q(sample)).distinct()
-    return all_samples.join(sts, sample, "left").select(q(sample), F.get("_s", F.lit(0)).alias("st"), F.when(F.size("_s") > 1, F.array_join(F.transform(F.slice("_s", 2, 1000), lambda x: x.cast("string")), ", ")).otherwise("").alias("rivals"))
+    return all_samples.join(sts, sample, "left").select(q(sample), F.get("_s", F.lit(0)).alias("st"), F.when(F.size("_s") > 1, F.array_join(F.transform(F.slice("_s", F.lit(2), F.size("_s")), lambda x: x.cast("string")), ", ")).otherwise("").alias("rivals"))
 
 
 def nearest(calls: DataFrame, profiles: DataFrame, sample: str, st: str, locus: str, allele: str, *, lineage: str | None = None, differ: int = 1) -> DataFrame:

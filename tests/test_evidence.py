@@ -87,6 +87,13 @@ def test_profiles(spark):
     assert near == {"x": ("1478", 3, 1, "L1"), "y": ("1478", 2, 2, "L1"), "w": ("1478", 2, 2, "L1")}
 
 
+def test_every_rival_is_named(spark):
+    p = spark.range(1500).selectExpr("id AS st", "'a' AS locus", "'1' AS allele")
+    calls = spark.createDataFrame([("x", "a", "1")], "sample string, locus string, allele string")
+    r = lookup(calls, p, "sample", "st", "locus", "allele").first()
+    assert r["st"] == 0 and r["rivals"].split(", ") == [str(i) for i in range(1, 1500)]
+
+
 def test_notation_and_scheme(spark):
     df = spark.createDataFrame([("1", 100.0, 100.0), ("2", 99.0, 100.0), ("3", 100.0, 80.0), (None, None, None)], "a string, i double, c double")
     assert [r[0] for r in df.select(allele_notation(F.col("a"), F.col("i"), F.col("c"))).collect()] == ["1", "~2", "3?", "-"]
