@@ -179,7 +179,7 @@ def _verified(doc: str, item: str, shift: int, least: int, edits: int, band: int
     return best
 
 
-def _check(least: int, edits: int, band: int):
+def _check(least: int, edits: int, band: int, pad: int):
     def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in it:
             out = []
@@ -187,9 +187,8 @@ def _check(least: int, edits: int, band: int):
                 s = " " + " ".join(words(text)) + " "
                 best: dict = {}
                 for f in found:
-                    pad = band if edits else 0
                     lo, hi = max(0, f["lo"] - pad), min(len(s) - 2, f["hi"] + pad)
-                    n = _verified(s[lo : hi + 2], f["cut"], f["lo"] - lo, least, edits, band)
+                    n = _verified(s[lo : hi + 2], f["cut"], f["at"] - lo, least, edits, band)
                     if n:
                         best[f["item"]] = max(n, best.get(f["item"], 0))
                 out += [(i, item, n) for item, n in best.items()]
@@ -261,9 +260,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", doc
         .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), (F.max("pos") + size).alias("hi"), F.min("ipos").alias("ilo"), (F.max("ipos") + size).alias("ihi"))
         .where(F.col("n") >= bound)
     )
-    cut = F.substring(F.concat(F.lit(" "), "norm", F.lit(" ")), F.col("ilo") + 1, F.col("ihi") - F.col("ilo") + 2)
-    cuts = regions.join(normal.withColumnRenamed("id", "item"), "item").select("id", F.struct("item", "lo", "hi", cut.alias("cut")).alias("f"))
+    # Edits near a passage's ends hide the q-grams there: so much may lie outside the outermost ones of a region.
+    pad = (max_edits + 1) * size if max_edits else 0
+    ilo, ihi = F.greatest(F.col("ilo") - pad, F.lit(0)), F.least(F.col("ihi") + pad, F.length("norm"))
+    cut = F.substring(F.concat(F.lit(" "), "norm", F.lit(" ")), ilo + 1, ihi - ilo + 2)
+    at = F.col("lo") - F.col("ilo") + ilo
+    cuts = regions.join(normal.withColumnRenamed("id", "item"), "item").select("id", F.struct("item", "lo", "hi", at.alias("at"), cut.alias("cut")).alias("f"))
     found = cuts.groupBy("id").agg(F.collect_list("f").alias("found"))
-    checked = d.join(found, "id").select("id", "text", "found").mapInPandas(_check(min_words, max_edits, band), f"id {id_of(d)}, item {id_of(normal)}, n_words int")
+    checked = d.join(found, "id").select("id", "text", "found").mapInPandas(_check(min_words, max_edits, 2 * band, pad + 2 * band if max_edits else 0), f"id {id_of(d)}, item {id_of(normal)}, n_words int")
     best = checked.groupBy("id", "item").agg(F.max("n_words").alias("n_words"))
     return best.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), "n_words")

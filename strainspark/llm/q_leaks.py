@@ -9,12 +9,17 @@ from strainspark.llm.leaks import find_leaks
 from strainspark.queries.tables import table
 
 
+#: Characters that may be edited in each twelve words of a passage.
+EDITS = 2
+
+
 def p6_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), max_edits=EDITS)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_leaks(spark, d).select("doc_id", "item_id")
+    """Whole equal words, so without edits."""
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:

@@ -57,6 +57,27 @@ def test_edits(spark):
     assert not any(d == 2 for d, _ in found(spark, docs, [(7, item)], max_edits=2))
 
 
+def test_edits_near_the_ends_of_a_passage(spark):
+    items = [(i, text(30)) for i in range(4)]
+    docs = []
+    for i, t in items:
+        p = " ".join(words(t)[8:20])
+        docs += [(10 * i + k, f"{text(6)} {p[:at]}{'q' if p[at] != 'q' else 'z'}{p[at + 1 :]} {text(6)}") for k, at in enumerate((0, 1, len(p) // 2, len(p) - 2, len(p) - 1))]
+    got = found(spark, docs, items, max_edits=2)
+    assert {k for k in got if k[0] // 10 == k[1]} == {(d, d // 10) for d, _ in docs}
+
+
+def test_registered_leaks_allow_edits(spark, monkeypatch):
+    from strainspark.llm import q_leaks
+
+    item = text(14)
+    w = words(item)
+    tables = {"documents": spark.createDataFrame([(1, " ".join([*w[:6], w[6] + "x", *w[7:]]))], "doc_id bigint, text string"), "eval_items": spark.createDataFrame([(7, item)], "item_id bigint, text string")}
+    monkeypatch.setattr(q_leaks, "table", lambda spark, d, name: tables[name])
+    assert [(r["doc_id"], r["item_id"]) for r in q_leaks.p6_leaks(spark, "").collect()] == [(1, 7)]
+    assert q_leaks.p6_items(spark, "").count() == 1 and q_leaks.p6_found(spark, "").count() == 0
+
+
 def test_empty(spark):
     assert found(spark, [], [(1, text(20))]) == {} and found(spark, [(1, text(20))], []) == {}
 
