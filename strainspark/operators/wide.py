@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainspark.columns import q, require
+from strainspark.columns import free, q, require
 
 #: Most attributes that become columns; a map per entity never holds more.
 MAX_COLUMNS = 4000
@@ -40,8 +40,20 @@ def cells(df: DataFrame, entity: str, attribute: str, value: str, keys: Sequence
     return rows.groupBy("entity", "attribute").agg(chosen.cast("string").alias("value"), (F.min("value") < F.max("value")).alias("disagree"))
 
 
+def column_names(keys: Sequence[str], *taken: str) -> dict[str, str]:
+    """A column name for each key: its own, with underscores behind it where a key before it or a ``taken`` name
+    (``cast_failures`` and ``disagreements`` always are) is the same but for case."""
+    out: dict[str, str] = {}
+    used = {"cast_failures", "disagreements", *(t.lower() for t in taken)}
+    for k in keys:
+        out[k] = free(used, k)
+        used.add(out[k].lower())
+    return out
+
+
 def widen(
-    df: DataFrame, entity: str, attribute: str, value: str, *, keys: Sequence[str] | None = None, types: Mapping[str, str] | str = "double", order: str | None = None, most: int = MAX_COLUMNS,
+    df: DataFrame, entity: str, attribute: str, value: str, *, keys: Sequence[str] | None = None, types: Mapping[str, str] | str = "double",
+    order: str | None = None, most: int = MAX_COLUMNS, names: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row per entity: ``entity``, a typed column for each key, then ``cast_failures``
     MAP<STRING,STRING> (attribute to the text that its type can't hold) and ``disagreements``
@@ -53,14 +65,18 @@ def widen(
     where none is given). An attribute outside ``keys`` gives no column; keys default to all
     attributes found (:func:`attributes`). A key without a value, and a value that can't be cast, is
     null; only the latter is in ``cast_failures``. Rows with a null entity, attribute or value are left
-    out, repeated rows change nothing, an empty table gives no rows. Clashing keys (the name of the
-    entity or of a result column) raise ValueError; the names of other columns don't matter.
+    out, repeated rows change nothing, an empty table gives no rows. ``names`` gives columns other names
+    than their keys' (:func:`column_names` finds some that don't clash). Clashing columns (each other,
+    the entity, a result column) raise ValueError; the names of other columns don't matter. More than
+    ``most`` attributes raise ValueError; :func:`cells` gives the same cells in long form, however many.
     """
     if keys is None:
         keys = attributes(df, attribute, most=most)
     keys = list(dict.fromkeys(keys))
-    clash = {entity.lower(), "cast_failures", "disagreements"} & {k.lower() for k in keys}
-    if clash or len({k.lower() for k in keys}) < len(keys):
+    called = {k: (names or {}).get(k, k) for k in keys}
+    lower = [n.lower() for n in called.values()]
+    clash = {entity.lower(), "cast_failures", "disagreements"} & set(lower)
+    if clash or len(set(lower)) < len(keys):
         raise ValueError(f"keys that clash, also without regard to case: {sorted(clash) or keys}")
     kind = (lambda k: types) if isinstance(types, str) else (lambda k: types.get(k, "string"))
     pairs = (
@@ -72,7 +88,7 @@ def widen(
     def typed(k: str) -> Column:
         return F.try_element_at("_m", F.lit(k)).try_cast(kind(k))
 
-    columns = [typed(k).alias(k) for k in keys]
+    columns = [typed(k).alias(called[k]) for k in keys]
     by_type: dict[str, list[str]] = {}
     for k in keys:
         by_type.setdefault(kind(k), []).append(k)
@@ -84,3 +100,14 @@ def widen(
     failed = [uncast(t) for t in by_type if t != "string"]
     failures = F.map_concat(*failed) if failed else F.map_filter("_m", lambda k, v: F.lit(False))
     return pairs.select(F.col("entity").alias(entity), *columns, failures.alias("cast_failures"), F.col("_d").alias("disagreements"))
+
+
+def narrow(wide: DataFrame, entity: str, names: Mapping[str, str]) -> DataFrame:
+    """The cells of a table made by :func:`widen`, read from its columns: ``entity`` (under its own name), ``attribute``,
+    ``value`` and ``disagree``. ``names`` is key to column; the columns have one type. An empty cell gives no row.
+    """
+    if not names:
+        return wide.select(q(entity), F.lit("").alias("attribute"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("disagree")).limit(0)
+    columns = F.arrays_zip(F.array(*map(F.lit, names)).alias("attribute"), F.array(*[F.col(q(c)) for c in names.values()]).alias("value"))
+    there = F.filter(columns, lambda x: x["value"].isNotNull())
+    return wide.select(q(entity), "disagreements", F.inline(there)).select(q(entity), "attribute", "value", F.array_contains("disagreements", F.col("attribute")).alias("disagree"))

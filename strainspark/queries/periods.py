@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strainspark.operators.periods import periods_and_gaps, stretches
-from strainspark.operators.wide import cells, widen
+from strainspark.operators.wide import attributes, cells, column_names, narrow, widen
 from strainspark.queries.tables import table
 
 
@@ -37,14 +37,31 @@ def genes(spark: SparkSession, d: str) -> DataFrame:
     return h.where("gene <> ''")
 
 
+def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    """One row per sample with a numeric column for each gene, and the genes' columns."""
+    rows = genes(spark, d)
+    names = column_names(attributes(rows, "gene"), "sample")
+    return widen(rows, "sample", "gene", "identity_pct", keys=list(names), names=names), names
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return widen(genes(spark, d), "sample", "gene", "identity_pct").select("sample", F.explode("disagreements").alias("gene"))
+    """The cells of the wide table whose rows disagree."""
+    wide, names = _wide(spark, d)
+    return narrow(wide, "sample", names).where("disagree").select("sample", F.col("attribute").alias("gene"))
 
 
 def p5_wide(spark: SparkSession, d: str) -> DataFrame:
-    """The whole wide table: a numeric column for each gene, named g_ and the gene's letters and digits."""
-    rows = genes(spark, d).withColumn("gene", F.concat(F.lit("g_"), F.regexp_replace("gene", "[^A-Za-z0-9]", "_")))
-    return widen(rows, "sample", "gene", "identity_pct").drop("cast_failures").withColumn("disagreements", F.array_join("disagreements", ","))
+    """The whole wide table: a numeric column for each gene, under the gene's own name."""
+    return _wide(spark, d)[0]
+
+
+def p5_wide_cells(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table's columns read back as rows, with what could not be cast."""
+    wide, names = _wide(spark, d)
+    back = narrow(wide, "sample", names)
+    failed = wide.select("sample", F.explode("cast_failures").alias("attribute", "text"))
+    rows = back.select("sample", F.col("attribute").alias("gene"), F.col("value").alias("identity_pct"), "disagree", F.lit(False).alias("failed"))
+    return rows.unionByName(failed.select("sample", F.col("attribute").alias("gene"), F.lit(None).cast("double").alias("identity_pct"), F.lit(False).alias("disagree"), F.lit(True).alias("failed")))
 
 
 def p5_cells(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +69,7 @@ def p5_cells(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("entity").alias("sample"), F.col("attribute").alias("gene"), F.col("value").cast("double").alias("identity_pct"), "disagree")
 
 
-QUERIES = {"p3_found": p3_found, "p3_coverage": p3_coverage, "p5_found": p5_found, "p5_wide": p5_wide, "p5_cells": p5_cells}
+QUERIES = {"p3_found": p3_found, "p3_coverage": p3_coverage, "p5_found": p5_found, "p5_wide": p5_wide, "p5_wide_cells": p5_wide_cells, "p5_cells": p5_cells}
 
 _INTERVALS = """
 WITH m AS (SELECT qseqid, sseqid, unnest(subject_intervals) AS e FROM merged_hits),
@@ -76,12 +93,6 @@ UNION ALL SELECT axis, key_a, key_b, 'gap', hi + 1, next_lo - 1 FROM s WHERE nex
     "p3_coverage": _INTERVALS + "SELECT axis, key_a, key_b, count(*) AS n_stretches, sum(hi - lo + 1)::BIGINT AS covered, sum(next_lo - hi - 1)::BIGINT AS uncovered FROM s GROUP BY ALL",
     "p5_found": _GENES + "SELECT sample, gene FROM c WHERE disagree",
     "p5_cells": _GENES + "SELECT sample, gene, identity_pct, disagree FROM c",
-    "p5_wide": """WITH dis AS (
-  SELECT sample, coalesce(string_agg(gene, ',' ORDER BY gene) FILTER (lo < hi), '') AS disagreements
-  FROM (SELECT sample, 'g_' || regexp_replace(trim(gene), '[^A-Za-z0-9]', '_', 'g') AS gene, min(identity_pct) AS lo, max(identity_pct) AS hi FROM hits
-        WHERE "primary" AND sample IS NOT NULL AND identity_pct IS NOT NULL AND trim(gene) <> '' GROUP BY ALL) GROUP BY sample)
-SELECT pv.*, dis.disagreements FROM (PIVOT (
-  SELECT sample, 'g_' || regexp_replace(trim(gene), '[^A-Za-z0-9]', '_', 'g') AS gene, identity_pct FROM hits
-  WHERE "primary" AND sample IS NOT NULL AND identity_pct IS NOT NULL AND trim(gene) <> '') ON gene USING max(identity_pct) GROUP BY sample) pv
-JOIN dis USING (sample)""",
+    # A view can't pivot on names that the data give, so the wide table is compared through its columns read back.
+    "p5_wide_cells": _GENES + "SELECT sample, gene, identity_pct, disagree, false AS failed FROM c",
 }

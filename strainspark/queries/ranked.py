@@ -132,7 +132,15 @@ QUERIES = {f.__name__: f for f in (records_latest, best_hsp, best_reference, bes
 
 _H = "h AS (SELECT * FROM hits WHERE hit_id IS NULL OR true QUALIFY hit_id IS NULL OR row_number() OVER (PARTITION BY hit_id ORDER BY loaded_at DESC NULLS LAST) = 1)"
 _PR = _H + ", p AS (SELECT * REPLACE (coalesce(nullif(drug_class, ''), 'unclassified') AS drug_class) FROM h WHERE \"primary\" AND sample IS NOT NULL AND gene IS NOT NULL)"
-_PIV = "(SELECT DISTINCT ON (hit_id) * FROM hits) t WHERE \"primary\" AND sample IS NOT NULL AND gene IS NOT NULL"
+# The values that become columns, named: a view can't pivot on names that the data give.
+_TYPES = ("AMR", "PLASMID", "STRESS", "VIRULENCE")
+_DATABASES = ("corecat", "oldargs", "plasdb", "resbase", "stressdb", "vircat")
+
+
+def _columns(value: str, names: tuple[str, ...]) -> str:
+    return ", ".join(f"{value.format(n)} AS {n}" for n in names)
+
+
 SQL = {
     "records_latest": f"WITH {_H} SELECT hit_id, sample, gene, loaded_at FROM h",
     "best_hsp": "SELECT qseqid, sseqid, bitscore, hsp_id FROM hsps WHERE qseqid <> '' AND NOT isnan(bitscore) QUALIFY row_number() OVER (PARTITION BY qseqid ORDER BY bitscore DESC, pident DESC NULLS LAST, hsp_id) = 1",
@@ -171,11 +179,14 @@ b AS (SELECT DISTINCT sample, gene FROM h WHERE database = 'plasdb' AND sample I
 f AS (SELECT coalesce(a.sample, b.sample) AS sample, a.gene AS x, b.gene AS y FROM a FULL JOIN b ON a.sample = b.sample AND a.gene = b.gene)
 SELECT sample, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) FILTER (y IS NULL) AS only_a, count(*) FILTER (x IS NULL) AS only_b,
 round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*), 6) AS jaccard FROM f GROUP BY sample""",
-    "matrix_count": f"""SELECT s.sample, pv.* EXCLUDE (sample) REPLACE (coalesce(AMR, 0) AS AMR, coalesce(PLASMID, 0) AS PLASMID, coalesce(STRESS, 0) AS STRESS, coalesce(VIRULENCE, 0) AS VIRULENCE)
-FROM (SELECT DISTINCT sample FROM samples WHERE sample IS NOT NULL) s LEFT JOIN (PIVOT (SELECT sample, element_type FROM {_PIV}) ON element_type USING count(*) GROUP BY sample) pv ON s.sample = pv.sample""",
-    "matrix_genes": f"SELECT * FROM (PIVOT (SELECT database, element_type, gene FROM {_PIV}) ON element_type USING count(DISTINCT gene) GROUP BY database)",
-    "matrix_binary": f"SELECT * FROM (PIVOT (SELECT DISTINCT gene, database FROM {_PIV}) ON database USING count(*)::INT GROUP BY gene)",
-    "matrix_identity": f"SELECT * FROM (PIVOT (SELECT gene, database, identity_pct FROM {_PIV} AND database IS NOT NULL) ON database USING max(identity_pct) GROUP BY gene)",
+    "matrix_count": f"""WITH {_PR}, s AS (SELECT DISTINCT sample FROM samples WHERE sample IS NOT NULL)
+SELECT s.sample, {_columns("count(p.sample) FILTER (element_type = '{0}')", _TYPES)} FROM s LEFT JOIN p ON s.sample = p.sample GROUP BY s.sample""",
+    "matrix_genes": f"""WITH {_PR} SELECT database, {_columns("count(DISTINCT gene) FILTER (element_type = '{0}')", _TYPES)}
+FROM p WHERE database IS NOT NULL GROUP BY database""",
+    "matrix_binary": f"""WITH {_PR} SELECT gene, {_columns("(count(*) FILTER (database = '{0}') > 0)::INT", _DATABASES)}
+FROM p WHERE database IS NOT NULL GROUP BY gene""",
+    "matrix_identity": f"""WITH {_PR} SELECT gene, {_columns("max(identity_pct) FILTER (database = '{0}')", _DATABASES)}
+FROM p WHERE database IS NOT NULL GROUP BY gene""",
     "matrix_long_symbol": f"""WITH {_PR}, b AS (SELECT gene, database, identity_pct AS i, coverage_pct AS c FROM p WHERE identity_pct IS NOT NULL AND coverage_pct IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY gene, database ORDER BY identity_pct DESC, coverage_pct DESC) = 1) SELECT gene, database, printf('%.0f', i) || '/' || printf('%.0f', c) AS value FROM b""",
     "class_summary": f"WITH {_PR} SELECT sample, drug_class, count(DISTINCT gene) AS value FROM p WHERE element_type = 'AMR' GROUP BY ALL",

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strainspark.operators.wide import attributes, widen
+from strainspark.operators.wide import attributes, cells, column_names, narrow, widen
 
 ROWS = [("s1", "a", "1.5", 1), ("s1", "a", "2.5", 2), ("s1", "b", "x", 1), ("s2", "a", "3", 1), ("s2", "a", "3", 1), ("s2", "c", None, 1), (None, "a", "1", 1), ("s3", None, "1", 1), ("s4", "z", "9", 1)]
 
@@ -38,3 +38,25 @@ def test_empty(spark):
     df = widen(frame(spark, []), "e", "k", "v", keys=["a"])
     assert df.columns == ["e", "a", "cast_failures", "disagreements"] and df.collect() == []
     assert widen(frame(spark, []), "e", "k", "v").collect() == []
+
+
+def test_names_that_clash(spark):
+    rows = [("s", "a", "1", 1), ("s", "A", "2", 1), ("s", "E", "3", 1), ("s", "disagreements", "4", 1), ("s", "x' y\"`", "5", 1)]
+    names = column_names(attributes(frame(spark, rows), "k"), "e")
+    wide = widen(frame(spark, rows), "e", "k", "v", keys=list(names), names=names)
+    assert len({c.lower() for c in wide.columns}) == 8 and names["A"] == "A" and names["a"] == "a_"
+    assert {r["attribute"]: r["value"] for r in narrow(wide, "e", names).collect()} == {"a": 1.0, "A": 2.0, "E": 3.0, "disagreements": 4.0, "x' y\"`": 5.0}
+    assert narrow(wide, "e", {}).collect() == []
+
+
+def test_beyond_the_most_columns_cells_give_the_long_form(spark):
+    rows = [("s", f"k{i}", str(i), 1) for i in range(30)]
+    with pytest.raises(ValueError):
+        widen(frame(spark, rows), "e", "k", "v", most=20)
+    assert {(r["attribute"], r["value"]) for r in cells(frame(spark, rows), "e", "k", "v").collect()} == {(k, v) for _, k, v, _ in rows}
+
+
+def test_primes_stay_apart(spark):
+    rows = [("s", "aac(3')", "1", 1), ("s", "aac(3'')", "2", 1)]
+    r = widen(frame(spark, rows), "e", "k", "v").first()
+    assert r["aac(3')"] == 1.0 and r["aac(3'')"] == 2.0 and r["disagreements"] == []
