@@ -91,3 +91,70 @@ def test_helpers():
     [(_, again)] = list(gram_hashes("xyz" + s[10:30], 9))
     assert again[3] == h[10]
     assert banded_distance("abcdef", "xxabcxdefxx", 2, 2, 2) == 1 and banded_distance("abc", "zzzz", 0, 1, 1) == 2
+
+
+def test_found_query_against_every_run_of_words(spark, data):
+    from strainspark.llm.q_leaks import p6_found
+
+    docs, items = (spark.read.parquet(f"{data}/{n}.parquet").collect() for n in ("documents", "eval_items"))
+    runs = {}
+    for r in items:
+        w = words(r["text"])
+        for k in range(len(w) - 11):
+            runs.setdefault(tuple(w[k : k + 12]), set()).add(r["item_id"])
+    want = set()
+    for r in docs:
+        w = words(r["text"])
+        want |= {(r["doc_id"], i) for k in range(len(w) - 11) for i in runs.get(tuple(w[k : k + 12]), ())}
+    assert want and {(r["doc_id"], r["item_id"]) for r in p6_found(spark, data).collect()} == want
+
+
+def test_exact_words_behind_an_edit(spark):
+    item = text(40)
+    w = words(item)
+    docs = [(1, f"{text(4)} {' '.join(w[3:16])} {text(4)}"), (2, f"{text(4)} {' '.join([*w[3:9], w[9] + 'q', *w[10:16]])} {text(4)}")]
+    rows = {r["doc_id"]: r for r in find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string"), max_edits=1).collect()}
+    assert rows[1]["n_exact"] >= 13 and rows[2]["n_exact"] == 0 and rows[2]["n_words"] >= 12
+
+
+def test_an_item_of_short_words_leaves_the_others_as_they_are(spark):
+    items = [(1, text(30)), (2, " ".join("abcdefghij"[k % 10] for k in range(14)))]
+    docs = [(1, f"{text(5)} {items[0][1]}"), (2, f"zz {items[1][1]} zz"), (3, text(50))]
+    assert set(found(spark, docs, items)) == {(1, 1), (2, 2)} and set(found(spark, docs, items[:1])) == {(1, 1)}
+
+
+def test_large_index_is_joined_by_a_shuffle(spark, monkeypatch):
+    from strainspark.llm import leaks
+
+    items = [(i, text(30)) for i in range(4)]
+    docs = [(d, f"{text(9)} {items[d % 4][1]}") for d in range(8)]
+    want = found(spark, docs, items)
+    monkeypatch.setattr(leaks, "FEW", 0)
+    assert found(spark, docs, items) == want and len(want) == 8
+
+
+def test_many_alignments_at_once():
+    from strainspark.llm.leaks import banded_distances
+
+    def plain(p, t):
+        """Least edits between p and any part of t."""
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, x in enumerate(t, 1):
+                new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    pairs = []
+    for _ in range(60):
+        p = "".join(RNG.choice("ab") for _ in range(RNG.randrange(1, 12)))
+        pairs.append((p, "".join(RNG.choice("ab") for _ in range(RNG.randrange(0, 12))), 0))
+    assert banded_distances(pairs, 30, 5).tolist() == [min(6, plain(p, t)) for p, t, _ in pairs]
+
+
+def test_long_texts(spark):
+    item = text(30)
+    filler = text(4000)
+    docs = [(1, f"{filler} {item} {filler}"), (2, filler)]
+    assert set(found(spark, docs, [(7, item), (8, filler)], max_edits=1)) == {(1, 7), (1, 8), (2, 8)}
