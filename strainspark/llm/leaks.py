@@ -19,9 +19,9 @@ from strainspark.session import materialize
 #: Up to this many q-grams of the items, their index is sent to every task; more are joined by a shuffle.
 FEW = 2_000_000
 #: Lengths of q-grams: an item's is rounded down to one of these, so that few different ones are hashed.
-LENGTHS = (1, 2, 3, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128)
-#: Share of the q-grams that a window must keep, by the lemma, that a region is asked for.
-SHARE = 0.5
+LENGTHS = (1, 2, 3, 4, 5, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Share of the q-grams that a window must keep, by the lemma, that a region is asked for (divided by the edits + 1).
+SHARE = 0.32
 #: Most bits of the map of the items' q-grams by which tasks drop other grams where they arise (32 MB).
 BITS = 1 << 28
 #: Characters hashed at once; longer texts are hashed in overlapping parts.
@@ -272,7 +272,7 @@ def find_leaks(
     A passage is at least ``min_words`` consecutive words of the item (:func:`~strainspark.llm.textnorm.words`:
     regardless of case, punctuation, markup and encoding), with at most ``max_edits`` characters edited
     in each such window. Let L be the length of an item's shortest window and q its length of q-grams, about
-    (L + 1) / (2 edits + 2). q-gram lemma: of any edits * q + bound q-grams of a window a passage keeps
+    (L + 1) / (3 edits + 3). q-gram lemma: of any edits * q + bound q-grams of a window a passage keeps
     bound, within a band of diagonals as wide as the edits. So
 
     1. each window's rarest edits * q + bound q-grams among the items are indexed (all together a window
@@ -304,7 +304,7 @@ def find_leaks(
     out = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), *counts])
     kind, item_kind = (x.schema["id"].dataType.simpleString() for x in (d, i))
 
-    share = SHARE
+    share = SHARE / (max_edits + 1)
 
     @F.udf("struct<norm:string,size:int,bound:int,pad:int>")
     def prepared(text):
@@ -313,7 +313,7 @@ def find_leaks(
         windows = (ends[min_words:] - ends[: max(0, len(ends) - min_words)] - 1).tolist()
         if not windows or min(windows) <= max_edits:
             return None
-        size = max(n for n in LENGTHS if n <= max(1, (min(windows) + 1) // (2 * max_edits + 2)))
+        size = max(n for n in LENGTHS if n <= max(1, (min(windows) + 1) // (3 * max_edits + 3)))
         # Edits near a passage's ends hide the q-grams there: as much as a window may lie outside a region's outermost ones.
         return " ".join(w), size, max(1, int((min(windows) + 1 - size * (max_edits + 1)) * share)), max(windows) + max_edits
 
