@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,41 +18,52 @@ from strainspark.session import materialize
 
 #: Index rows (one for each entry and n-gram) that are sent to every task; a longer list is joined by a shuffle.
 FEW = 500_000
+#: The place of an entry's own text before its phrases.
+WHOLE = -1
+
+
+_PARTED = re.compile(r"(?:[^\w.]|_)+")
+_JOINED = re.compile(r"[\W_]")
 
 
 def normalise(text: str) -> str:
     """Lower case without accents, everything but letters, digits and the dots of abbreviations as single blanks."""
-    text = unicodedata.normalize("NFKD", text.casefold())
-    text = "".join(c for c in text if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
-    return re.sub(r"(?:[^\w.]|_)+", " ", text).strip()
+    text = text.casefold()
+    if not text.isascii():
+        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+    return _PARTED.sub(" ", text).strip()
 
 
 def contained(phrase: str, text: str, budget: int) -> tuple[int, int]:
     """The least edits (insert, delete, replace, swap of neighbours) between ``phrase`` and a part of ``text``
-    (budget + 1 if more), and the end of that part."""
+    (budget + 1 if more), and the end of the first such part.
+
+    Columns of the table of edits are kept as the bits of whole numbers: one step for each character of
+    the text, whatever the phrase's length.
+    """
     if (at := text.find(phrase)) >= 0:
         return 0, at + len(phrase)
     if not budget:
         return 1, 0
-    n, over = len(text), budget + 1
-    two, row = None, [0] * (n + 1)
+    m, where = len(phrase), {}
     for i, c in enumerate(phrase):
-        new = [i + 1] * (n + 1)
-        for j in range(1, n + 1):
-            t = text[j - 1]
-            best = row[j - 1] + (t != c)
-            if row[j] + 1 < best:
-                best = row[j] + 1
-            if new[j - 1] + 1 < best:
-                best = new[j - 1] + 1
-            if two is not None and j > 1 and c == text[j - 2] and t == phrase[i - 1] and two[j - 2] + 1 < best:
-                best = two[j - 2] + 1
-            new[j] = best
-        if min(new) >= over:
-            return over, 0
-        two, row = row, new
-    least = min(row)
-    return min(least, over), row.index(least)
+        where[c] = where.get(c, 0) | 1 << i
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, d0, before = full, 0, 0, 0
+    now = least = m
+    end = 0
+    for j, c in enumerate(text, 1):
+        eq = where.get(c, 0)
+        swap = ((~d0 & eq) << 1) & before
+        d0 = (((eq & up) + up) ^ up) | eq | down | swap
+        more, less = down | (~(d0 | up) & full), d0 & up
+        now += bool(more & top) - bool(less & top)
+        more, less = more << 1, less << 1
+        up, down = (less | ~(d0 | more)) & full, d0 & more & full
+        before = eq
+        if now < least:
+            least, end = now, j
+    return (least, end) if least <= budget else (budget + 1, 0)
 
 
 def _expanded(value: str, phrases: list[str]) -> str:
@@ -70,7 +83,7 @@ def _expanded(value: str, phrases: list[str]) -> str:
                 spare.remove(full)
                 t = full
         out.append(t)
-    return re.sub(r"[\W_]", "", "".join(out))
+    return _JOINED.sub("", "".join(out))
 
 
 def distance(value: str, phrases: list[str], edits: int, sure: bool = True) -> tuple[int, int, int] | None:
@@ -92,135 +105,159 @@ def distance(value: str, phrases: list[str], edits: int, sure: bool = True) -> t
     return total, lo, hi
 
 
-def _grams(c: str, n: int) -> Column:
-    """The distinct n-grams of a normalised text with a blank on either side, as an array; dots don't count."""
-
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            padded = [f" {t.replace('.', '')} " for t in s]
-            yield pd.Series([sorted({p[i : i + n] for i in range(max(1, len(p) - n + 1))}) for p in padded])
-
-    return F.pandas_udf(run, "array<string>")(F.col(c))
-
-
-def _pairs(c: str) -> Column:
-    """The distinct pairs of neighbouring letters and digits of a normalised text without its blanks and dots, as an array."""
-
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            bare = [re.sub(r"[\W_]", "", t) for t in s]
-            yield pd.Series([sorted({p[i : i + 2] for i in range(len(p) - 1)}) for p in bare])
-
-    return F.pandas_udf(run, "array<string>")(F.col(c))
-
-
-def _may_hold(phrases: Column, pairs: Column, edits: int, sure: Column) -> Column:
-    """False only where :func:`distance` of a value without abbreviations is None: an edit takes at most three of a
-    phrase's pairs of letters from the value, and finding it word by word those between two words."""
-
-    def kept(p: Column) -> Column:
-        whole = F.replace(p, F.lit(" "), F.lit(""))
-        n = F.length(whole)
-        own = F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(whole, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
-        budget = F.least(F.lit(edits), F.floor(n / F.when(sure, 3).otherwise(4)))
-        between = F.size(F.split(F.trim(p), " +")) - 1
-        return F.size(F.array_intersect(own, pairs)) >= F.size(own) - 3 * budget - between
-
-    return F.coalesce(F.forall(phrases, kept), F.lit(True))
-
-
-def _normal(df: DataFrame, text: str, digits: bool = True) -> DataFrame:
-    def clean(t: str) -> str:
-        t = normalise(t)
-        return t if digits else " ".join(w for w in t.split() if not any(c.isdigit() for c in w))
-
-    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in it:
-            yield s.map(clean, na_action="ignore")
-
-    run = F.pandas_udf(run, "string")
-
-    return df.withColumn("norm", run(F.col(text)))
+def _prepared(n: int):
+    """Rows of a text (and what else there is) with ``norm`` and ``grams``, the distinct n-grams of the normalised text
+    with a blank on either side, as whole numbers (dots don't count)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norm = [normalise(t) for t in batch.column(0).to_pylist()]
+            grams, offsets = gram_codes([t.replace(".", "") for t in norm], n)
+            cols = [*batch.columns, pa.array(norm, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(grams))]
+            yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "norm", "grams"])
+
+    return run
+
+
+def gram_codes(texts: Sequence[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, offsets): the distinct n-grams of each of ' text ', all texts at once. A text shorter than n is one gram."""
+    padded = [f" {t} ".ljust(n) for t in texts]
+    sizes = np.array([len(p) for p in padded], dtype=np.int64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    whole = np.zeros(max(0, len(codes) - n + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            # Three characters of 21 bits fit; longer grams wrap around and are hashes.
+            whole = whole * np.uint64(1 << 21 if n <= 3 else 0x9E3779B97F4A7C15) + codes[i : i + len(whole)]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.maximum(sizes - n + 1, 0))
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    first = np.concatenate([[0], np.cumsum(sizes - n + 1)])[:-1]
+    own = whole[np.arange(len(owner)) - np.repeat(first, sizes - n + 1) + np.repeat(starts, sizes - n + 1)].view(np.int64)
+    order = np.lexsort((own, owner))
+    own, owner = own[order], owner[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (owner[1:] != owner[:-1])
+    counts = np.bincount(owner[new], minlength=len(texts))
+    return own[new], np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+
+
+def _scored(threshold: float, edits: int, sure: float, exact: bool):
+    """Candidates (value, norm, grams, entry, own, phrases) to (value, entry, dot, score, d, lo, hi): how much of the entry's
+    text and of each phrase the value covers, and the exact check of those over the threshold."""
+
+    def weights(x: dict) -> tuple[str, float, dict]:
+        return x["norm"], x["total"], {g["g"]: g["w2"] for g in x["grams"]}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            value, norm, grams, entry, own, phrases = batch.columns
+            out, rows = [], []
+            for k, (t, g, e) in enumerate(zip(norm.to_pylist(), grams, entry.to_pylist())):
+                if e not in known:
+                    known[e] = weights(own[k].as_py()), [weights(p) for p in phrases[k].as_py()]
+                (_, length, w), named = known[e]
+                mine = set(g.values.to_numpy().tolist())
+                if any(sum(x for c, x in each.items() if c in mine) < total * threshold * threshold for _, total, each in named):
+                    continue
+                dot = sum(x for c, x in w.items() if c in mine)
+                score = math.sqrt(dot / length)
+                found = distance(t, [p for p, _, _ in named], edits, score >= sure) if exact else (0, 0, 0)
+                if found is not None:
+                    rows.append(k)
+                    out.append((dot, score, *found))
+            if rows:
+                cols = [pa.array(c, kind) for c, kind in zip(zip(*out), (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))]
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([value.take(at), entry.take(at), *cols], ["value", "entry", "dot", "score", "d", "lo", "hi"])
+
+    return run
 
 
 def canonicalise(
     values: DataFrame, value: str, entries: DataFrame, *, entry_id: str = "entry_id", entry: str = "entry", required: str | None = None, several: bool = False,
-    n: int = 3, threshold: float = 0.3, margin: float = 0.02, edits: int = 2, sure: float = 0.5,
+    n: int = 3, threshold: float = 0.3, margin: float = 0.02, edits: int = 2, sure: float = 0.65,
 ) -> DataFrame:
     """Each distinct value and the entries that it means: ``value``, ``entry_id`` (null: none), ``score``.
 
     1. Values are deduplicated and normalised (:func:`normalise`).
-    2. Candidates come from an inverted index of the entries' character n-grams: all entries that share
-       one. They are scored by the cosine of the two sets of n-grams, a gram weighing
-       ln(1 + entries / entries that have it), and one that no entry has like the rarest. Where no
-       entry has a digit, words with digits (accessions, numbers of copies) are left out of the values.
-    3. Candidates below ``threshold`` fall away. With ``required`` (a column with the phrases that a
-       value must hold) the cosine drops none, as all that a value says besides lowers it: those fall away
-       whose phrases the value doesn't hold within ``edits`` edits each (:func:`distance`; fewer where
-       the cosine is below ``sure``), and the fewest edits win.
-    4. The best is accepted if it leads the next one (with as few edits) by ``margin``; a closer race is
-       no match. With ``several`` all candidates left are accepted, but of those found in one place of
-       the value only the one with the fewest edits.
-
-    Null and blank values are left out; an entry that is null or blank is never meant; entries should
-    differ (equal ones are in a tie, so no match). An empty list matches nothing. Values of only
-    punctuation match nothing. Other columns of either table aren't read.
+    2. An entry has phrases: those in the column ``required`` (all of which a value must name), else its
+       whole text. Candidates come from an inverted index of the character n-grams of each entry's rarest
+       phrase, a gram weighing ln(1 + entries / entries that have it). Of a phrase only its heaviest grams
+       are listed, so many that the others together can't reach the threshold.
+    3. The score is a weighted cosine: with ``required`` that of the entry and the part of the value that
+       covers it, so other words of the value don't lower it; a candidate falls away of which any phrase,
+       scored alike, is below ``threshold``. Else it is that of the whole value and the entry, and a
+       candidate below ``threshold`` falls away.
+    4. With ``required`` an exact check follows on the candidates that are left: those go whose phrases the
+       value doesn't hold within ``edits`` edits each (:func:`distance`; fewer where the score is below ``sure``).
+    5. The best score is accepted if it leads the next one by ``margin``. Of candidates closer than that the
+       one with the fewest edits is accepted, or none if they are equal in that too. With ``several`` this
+       holds for each place of the value: candidates found elsewhere in it are no rivals.
+
+    Null and blank values are left out; an entry that is null or blank is never meant, nor one with no
+    phrase; entries should differ (equal ones are in a tie, so no match). An empty list matches nothing.
+    Values of only punctuation match nothing. Other columns of either table aren't read.
     """
     require(values, value)
     require(entries, entry_id, entry, *([required] if required else []))
     if value.lower() in ("entry_id", "score"):
         raise ValueError(f"a value column can't be named {value}, like a result column")
-    phrases = F.col(q(required)) if required else F.lit(None).cast("array<string>")
-    listed = _normal(entries.select(F.col(q(entry_id)).alias("entry"), F.col(q(entry)).alias("text"), phrases.alias("phrases")).where("trim(text) <> ''"), "text")
-    listed = materialize(listed.select("entry", "norm", "phrases", _grams("norm", n).alias("grams")), "canonical-list")
-    size = listed.count()
-    digits = listed.where(F.col("norm").rlike("[0-9]")).limit(1).count() > 0
-    own = _normal(values.select(F.col(q(value)).alias("value")).where("trim(value) <> ''").distinct(), "value", digits)
-    own = own.select(F.monotonically_increasing_id().alias("v"), "value", "norm", _grams("norm", n).alias("grams"), *([_pairs("norm").alias("pairs")] if required else []))
-    own = materialize(own, "canonical-values")
-
-    posted = listed.select("entry", F.explode("grams").alias("g"))
-    weight = posted.groupBy("g").agg(F.log(F.lit(1.0) + F.lit(float(size)) / F.count(F.lit(1))).alias("w"))
-    index = posted.join(weight, "g").select("g", "entry", (F.col("w") * F.col("w")).alias("w2"))
-    length = index.groupBy("entry").agg(F.sqrt(F.sum("w2")).alias("e_len"))
-    # Every gram also counts once for the value itself (entry null): that sum is its squared length.
-    index = materialize(index.unionByName(index.select("g", F.lit(None).cast(index.schema["entry"].dataType).alias("entry"), "w2").distinct()), "canonical-index")
+    listed = entries.select(F.col(q(entry_id)).alias("entry"), F.col(q(entry)).alias("text"), *([F.col(q(required)).alias("phrases")] if required else [])).where("trim(text) <> ''")
+    kind = listed.schema["entry"].dataType.simpleString()
+    texts = listed.select("text", "entry", F.lit(WHOLE).alias("at"))
+    if required:
+        texts = texts.unionByName(listed.select("entry", F.posexplode("phrases").alias("at", "text")).where("text IS NOT NULL"))
+    phrases = materialize(texts.mapInArrow(_prepared(n), f"text string, entry {kind}, at int, norm string, grams array<bigint>").where("norm <> ''"), "canonical-phrases")
+    size = phrases.select("entry").distinct().count()
+
+    posted = phrases.select("entry", "at", "norm", F.explode("grams").alias("g"))
+    weight = posted.groupBy("g").agg((F.log(F.lit(1.0) + F.lit(float(size)) / F.count_distinct("entry"))).alias("w")).select("g", (F.col("w") * F.col("w")).alias("w2"))
+    heavy_first = F.reverse(F.array_sort(F.collect_list(F.struct("w2", "g"))))
+    weighed = posted.join(weight, "g").groupBy("entry", "at", "norm").agg(heavy_first.alias("grams"), F.sum("w2").alias("total"))
+    # The rarest phrase of an entry finds it: rarer phrases are named by fewer entries.
+    weighed = weighed.withColumn("n_entries", F.count(F.lit(1)).over(Window.partitionBy("norm")))
+    weighed = materialize(weighed, "canonical-weights")
+    finder = (weighed.where(F.col("at") != WHOLE) if required else weighed).groupBy("entry").agg(F.min_by(F.struct("norm", "grams", "total"), F.struct("n_entries", "at")).alias("x"))
+    found_by = finder.select("entry", F.col("x.norm").alias("finder"))
+    keys = finder.select("x.*").dropDuplicates(["norm"])
+    # A gram is listed while those before it leave the threshold in reach; the others can't make a match alone.
+    rest = lambda i: F.aggregate(F.slice("grams", i + 1, F.size("grams")), F.lit(0.0), lambda s, x: s + x["w2"])
+    listing = F.filter("grams", lambda x, i: rest(i) >= F.col("total") * (threshold * threshold * 0.999999))
+    keys = keys.select(F.col("norm").alias("finder"), "total", listing.alias("listing"))
+    unlisted = F.col("total") - F.aggregate("listing", F.lit(0.0), lambda s, x: s + x["w2"])
+    # What the listed grams must bring so that the threshold can be reached with all the others.
+    need = F.col("total") * (threshold * threshold * 0.999999) - unlisted
+    index = materialize(keys.select("finder", need.alias("need"), F.inline("listing")).select("g", "finder", "w2", "need"), "canonical-index")
+    whole = weighed.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("at", "norm", "grams", "total"))).alias("phrases")).join(found_by, "entry")
+    whole = whole.select("entry", "finder", F.col("phrases")[0].alias("own"), F.slice("phrases", 2, 1 << 30).alias("phrases"))
+    whole = materialize(whole, "canonical-entries")
     few = index.limit(FEW + 1).count() <= FEW
     small = F.broadcast if few else lambda df: df
-    rare = math.log(1.0 + size) ** 2
-    # All of a value's n-grams arise in one task: its sums and its length need no further shuffle.
-    spread = own.select("v", "grams").repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), "v")
-    sums = (
-        spread.select("v", F.explode("grams").alias("g"))
-        .join(small(index), "g", "left")
-        .groupBy("v", "entry")
-        .agg(F.sum(F.coalesce("w2", F.lit(rare))).alias("dot"))
-        .withColumn("v_len", F.sqrt(F.max(F.when(F.col("entry").isNull(), F.col("dot"))).over(Window.partitionBy("v"))))
-        .where("entry IS NOT NULL")
-    )
-    scored = sums.join(small(length), "entry").select("v", "entry", (F.col("dot") / (F.col("v_len") * F.col("e_len"))).alias("score"))
-    if required:
 
-        def check(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for block in it:
-                d = [distance(t, list(p) if p is not None else [], edits, x >= sure) or (None, 0, 0) for t, p, x in zip(block["norm"], block["phrases"], block["score"])]
-                yield block[["v", "entry", "score"]].assign(d=pd.array([x[0] for x in d], dtype="Int32"), lo=[x[1] for x in d], hi=[x[2] for x in d])
-
-        kind = listed.schema["entry"].dataType.simpleString()
-        scored = scored.join(own.select("v", "norm", "pairs"), "v").join(small(listed.select("entry", "phrases")), "entry")
-        scored = scored.where(F.col("norm").rlike(r"\.( |$)") | _may_hold(F.col("phrases"), F.col("pairs"), edits, F.col("score") >= sure))
-        scored = scored.select("v", "entry", "score", "norm", "phrases").mapInPandas(check, f"v bigint, entry {kind}, score double, d int, lo int, hi int").where("d IS NOT NULL")
-    else:
-        scored = scored.where(F.col("score") >= threshold).select("*", *[F.lit(0).alias(c) for c in ("d", "lo", "hi")])
-    if several and required:
-        # Of two that were found in one place, the one with fewer edits stays.
-        rivals = scored.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("d", (-F.col("score")).alias("less"), "entry", "lo", "hi"))).alias("m"))
-        kept = F.filter("m", lambda x, i: ~F.exists(F.slice("m", 1, i), lambda y: (F.least(x.hi, y.hi) - F.greatest(x.lo, y.lo)) * 2 > x.hi - x.lo))
-        scored = rivals.select("v", F.explode(kept).alias("x")).select("v", "x.entry", (-F.col("x.less")).alias("score"))
-    if not several:
-        order = Window.partitionBy("v").orderBy("d", F.desc("score"), "entry")
-        lead = F.lead(F.struct("d", "score")).over(order)
-        scored = scored.withColumn("rn", F.row_number().over(order)).withColumn("lead", lead)
-        close = (F.col("lead.d") == F.col("d")) & (F.col("score") - F.col("lead.score") < margin)
-        scored = scored.where((F.col("rn") == 1) & ~F.coalesce(close, F.lit(False)))
-    return own.join(scored.select("v", "entry", "score"), "v", "left").select(F.col("value").alias(value), F.col("entry").alias("entry_id"), "score")
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = values.select(F.col(q(value)).alias("value")).where("trim(value) <> ''").distinct()
+    own = distinct.mapInArrow(_prepared(n), "value string, norm string, grams array<bigint>").where("norm <> ''")
+    own = materialize(own.select(F.monotonically_increasing_id().alias("v"), "value", "norm", "grams"), "canonical-values")
+    # A value's grams arise in one task: the sums need no further shuffle.
+    spread = own.select("v", "grams").repartition(parts, "v").select("v", F.explode("grams").alias("g"))
+    met = spread.join(small(index), "g").groupBy("v", "finder").agg(F.sum("w2").alias("dot"), F.max("need").alias("need"))
+    met = met.where("dot >= need").select("v", "finder")
+    met = own.join(met, "v").join(small(whole), "finder")
+    scored = met.select("value", "norm", "grams", "entry", "own", "phrases").mapInArrow(
+        _scored(threshold, edits, sure, required is not None), f"value string, entry {kind}, dot double, score double, d int, lo int, hi int"
+    )
+    if not required:
+        # The value's own length: a gram that no entry has weighs like the rarest.
+        rare = math.log(1.0 + size) ** 2
+        lengths = spread.join(small(weight), "g", "left").groupBy("v").agg(F.sqrt(F.sum(F.coalesce("w2", F.lit(rare)))).alias("v_len"))
+        lengths = own.select("v", "value").join(lengths, "v").select(F.col("value").alias("of"), "v_len")
+        # score is sqrt(dot) / e_len here, so sqrt(dot) * score is dot / e_len.
+        scored = scored.join(lengths, F.col("value") == F.col("of")).withColumn("score", F.sqrt("dot") * F.col("score") / F.col("v_len")).where(F.col("score") >= threshold)
+    # Rivals of a place: within the margin the edits decide.
+    named = scored.groupBy("value").agg(F.collect_list(F.struct("entry", "score", "d", "lo", "hi")).alias("m"))
+    rival = (lambda x, y: (F.least(x.hi, y.hi) - F.greatest(x.lo, y.lo)) * 2 > F.least(x.hi - x.lo, y.hi - y.lo)) if several and required else (lambda x, y: F.lit(True))
+    behind = lambda x, y: (y.score >= x.score + margin) | ((y.score > x.score - margin) & (y.d <= x.d))
+    kept = F.filter("m", lambda x: ~F.exists("m", lambda y: (y.entry != x.entry) & rival(x, y) & behind(x, y)))
+    best = named.select("value", F.explode(kept).alias("x")).select(F.col("value").alias("of"), F.col("x.entry").alias("entry"), F.col("x.score").alias("score"))
+    return distinct.join(best, F.col("value") == F.col("of"), "left").select(F.col("value").alias(value), F.col("entry").alias("entry_id"), "score")

@@ -26,7 +26,7 @@ def class_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def products(spark: SparkSession, d: str) -> DataFrame:
-    return canonicalise(_odd(spark, d, "product"), "product", product_entries(spark, d), required="required")
+    return canonicalise(_odd(spark, d, "product"), "product", product_entries(spark, d), required="required", threshold=0.2)
 
 
 def classes(spark: SparkSession, d: str) -> DataFrame:

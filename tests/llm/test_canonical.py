@@ -30,14 +30,16 @@ def test_required(spark):
 
 
 def test_required_whatever_the_cosine(spark):
-    """Text around the phrases lowers the cosine far below the threshold; the entry is that of the check over all entries."""
+    """Text around the phrases doesn't lower their cosine; the entry is that of the check over all entries."""
     families, acts = ("fupigus", "bekalon", "kudutas", "ginosox", "valomas", "nidivur"), ("chromate permease", "sensor kinase", "efflux pump", "hydrolase")
     listed = [(i, f"{f} family class A {c} {a}", [f, a]) for i, (f, c, a) in enumerate(((f, c, a) for f in families for c, a in zip(("reviarine", "sofeozin", "nusaozin", "pasuetin"), acts)), 1)]
     e = spark.createDataFrame(listed, "entry_id int, entry string, need array<string>")
     wrapped = [w.format(x) for x in ("Fuipgus fam. chrom. permease", "bekaoln hydrolase", "kudtuas sens. kinase", "Zuradon fam. chrom. permease", "Ginosox fam. chrom. phosphotransferase") for w in ("{}", "predicted: MULTI: {}", "conserved hypothetical low quality protein: putative {} [fragment] (partial)")]
     v = spark.createDataFrame([(x,) for x in wrapped], "v string")
     rows = {r["v"]: (r["entry_id"], r["score"]) for r in canonicalise(v, "v", e, required="need").collect()}
-    assert min(s for _, s in rows.values() if s) < 0.3
+    for k, x in enumerate(wrapped):
+        bare = rows[wrapped[k - k % 3]]
+        assert rows[x][0] == bare[0] and (bare[1] is None or rows[x][1] >= bare[1])
     found = {x: [i for i, _, p in listed if distance(normalise(x), p, 2, False)] for x in wrapped}
     assert {x: [i] if i else [] for x, (i, _) in rows.items()} == found and sum(map(len, found.values())) == 9
 
@@ -54,3 +56,40 @@ def test_helpers():
     assert contained("abcd", "xxabdcxx", 2)[0] == 1 and contained("abcd", "xyz", 1)[0] == 2
     assert distance("rib. protection prot.", ["ribosomal protection protein"], 2)[0] == 0
     assert distance("efflux", ["permease"], 2) is None
+
+
+def test_close_scores_are_decided_by_edits(spark):
+    e = spark.createDataFrame([(1, "abcdefgh permease", ["abcdefgh", "permease"]), (2, "abcdefgz permease", ["abcdefgz", "permease"]), (3, "abcdefgh permease", ["abcdefgh", "permease"])], "entry_id int, entry string, need array<string>")
+    v = spark.createDataFrame([("abcdefgz permease",), ("abcdefgh permease",)], "v string")
+    got = {r["v"]: r["entry_id"] for r in canonicalise(v, "v", e, required="need", margin=0.9).collect()}
+    assert got == {"abcdefgz permease": 2, "abcdefgh permease": None}
+
+
+def test_long_list_is_joined_by_a_shuffle(spark, monkeypatch):
+    from strainspark.llm import canonical
+
+    values = ["new york", "San Fransisco", "Paris", "Newark 7"]
+    want = mapped(spark, values, threshold=0.5)
+    monkeypatch.setattr(canonical, "FEW", 0)
+    assert mapped(spark, values, threshold=0.5) == want and want["San Fransisco"] == 3
+
+
+def test_candidates_against_all_entries(spark, data):
+    """Recall: on every product of the smallest tables the entry is the one that the exact check over all entries leaves."""
+    from strainspark.llm.q_canonical import _odd, product_entries, products
+
+    listed = [(r["entry_id"], [normalise(p) for p in r["required"]]) for r in product_entries(spark, data).collect()]
+    got = {r["product"]: r["entry_id"] for r in products(spark, data).collect()}
+    values = [r["product"] for r in _odd(spark, data, "product").select("product").distinct().collect()]
+    assert set(values) == set(got)
+    named = {v: [i for i, p in listed if distance(normalise(v), p, 2, False)] for v in values}
+    sure = {v: x for v, x in named.items() if x}
+    assert len(sure) > 20 and sum(got[v] in x for v, x in sure.items()) >= 0.99 * len(sure)
+
+
+def test_digits_in_one_entry_change_no_other_value(spark):
+    e = spark.createDataFrame([(1, "alpha kinase"), (2, "beta permease")], "entry_id int, entry string")
+    more = e.union(spark.createDataFrame([(3, "omega 77 pump")], "entry_id int, entry string"))
+    v = spark.createDataFrame([("alpha kinase 12",), ("beta permease",)], "v string")
+    one, two = ({r["v"]: r["entry_id"] for r in canonicalise(v, "v", x).collect()} for x in (e, more))
+    assert one == two == {"alpha kinase 12": 1, "beta permease": 2}
