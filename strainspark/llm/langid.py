@@ -14,14 +14,15 @@ from pyspark.sql import types as T
 from strainspark.columns import q, require
 from strainspark.llm.kneser import Model
 from strainspark.llm.prose import prose_words
+from strainspark.session import materialize
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pt", "sv")
 #: Labelled posts of each language that the models are fitted on, those with the lowest hash of their id.
 SAMPLE = 500
 #: Natural logs of odds that the words must offer before the language is taken to change.
 SWITCH = 14.0
-#: Words read at once; longer posts are read in parts.
-WINDOW = 4096
+#: Posts of the sample have at most this many characters, so its size is bounded in bytes too.
+SAMPLE_CHARS = 50_000
 #: Share of held-out parts in their language whose cross-entropy stays under the limit, and the factor on
 #: the language's mean that is granted besides.
 ACCEPT, SLACK = 0.999, 1.25
@@ -34,6 +35,26 @@ def label_code(c: Column, languages: Sequence[str] = LANGUAGES) -> Column:
     return F.when(code.isin(list(languages)), code)
 
 
+def likelihood(entropy: np.ndarray, size: np.ndarray, sharpness: float) -> np.ndarray:
+    """Each language's probability for parts of ``size`` characters with these cross-entropies (parts, languages): odds
+    by the total, damped by the root, as neighbouring characters aren't independent."""
+    logs = -sharpness * np.sqrt(size)[:, None] * (entropy - entropy.min(axis=1, keepdims=True))
+    odds = np.exp(logs)
+    return odds / odds.sum(axis=1, keepdims=True)
+
+
+def fitted_sharpness(entropy: np.ndarray, size: np.ndarray, truth: np.ndarray) -> float:
+    """The sharpness at which the true languages (columns) of the pieces are likeliest; 1 without pieces."""
+    if not len(truth):
+        return 1.0
+
+    def loss(s: float) -> float:
+        return -float(np.log(np.maximum(likelihood(entropy, size, s)[np.arange(len(truth)), truth], 1e-12)).mean())
+
+    grid = np.geomspace(0.05, 50.0, 61)
+    return float(min(grid, key=loss))
+
+
 @dataclass
 class Identifier:
     """Fitted models with their calibration: a part of n characters has no language known if its cross-entropy
@@ -98,18 +119,18 @@ class Identifier:
         ends = np.cumsum([len(p) for p in posts])
         owner = np.repeat(np.arange(len(posts)), [len(p) for p in posts])
         starts = np.concatenate([[0], ends[:-1]])
-        bounds = np.unique(np.concatenate([*(np.arange(s, e, WINDOW) for s, e in zip(starts, ends) if e > s), [len(ids)]])).astype(np.int64)
+        bounds = np.append(starts[ends > starts], len(ids))
         language = self.path(logs, bounds)
-        cut = np.concatenate([[True], (language[1:] != language[:-1]) | (owner[1:] != owner[:-1])])
-        at = np.flatnonzero(cut)
+        for _ in range(2):
+            at = np.flatnonzero(np.concatenate([[True], (language[1:] != language[:-1]) | (owner[1:] != owner[:-1])]))
+            # A part's language is the one with the lowest cross-entropy over the whole part.
+            best = np.add.reduceat(logs, at, axis=0).argmax(axis=1)
+            language = np.repeat(best, np.diff(np.append(at, len(ids))))
         sums, size, words = np.add.reduceat(logs, at, axis=0), np.add.reduceat(chars, at), np.diff(np.append(at, len(ids)))
         entropy = -sums / size[:, None]
         chosen = language[at]
         own = entropy[np.arange(len(at)), chosen]
-        with np.errstate(over="ignore"):
-            # Odds by the total, damped by the root: neighbouring characters aren't independent.
-            odds = np.exp(-self.sharpness * np.sqrt(size)[:, None] * (entropy - own[:, None]))
-        confidence = 1.0 / odds.sum(axis=1)
+        confidence = likelihood(entropy, size, self.sharpness)[np.arange(len(at)), chosen]
         part, before = 0, -1
         for i, a in enumerate(at):
             o = int(owner[a])
@@ -172,21 +193,63 @@ def _word_counts(broadcast):
     return run
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, rounds: int = 2) -> Identifier:
+#: Words of the pieces of held-out parts on which the confidence is fitted, in turn.
+PIECES = (1, 2, 3, 5, 8, 13)
+
+
+def _pieces(broadcast):
+    """Held-out rows (id, code, text) to pieces of the parts in the label's language: (code, n_chars, entropy)."""
+
+    def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        identifier = broadcast.value
+        for block in it:
+            codes, chars, entropies = [], [], []
+            code = block["code"].to_list()
+            posts = [prose_words(t) for t in block["text"]]
+            for i, _, lang, _, n, at, *_ in identifier.parts(block["text"]):
+                if lang != code[i] or n < 2 * max(PIECES):
+                    continue
+                logs, size = identifier.model.score(posts[i][at : at + n])
+                cuts = np.cumsum([0, *(PIECES[k % len(PIECES)] for k in range(n))])
+                cuts = cuts[cuts < n]
+                total, length = np.add.reduceat(logs, cuts, axis=0), np.add.reduceat(size, cuts)
+                codes += [lang] * len(cuts)
+                chars += length.tolist()
+                entropies += (-total / length[:, None]).tolist()
+            yield pd.DataFrame({"code": codes, "n_chars": chars, "entropy": entropies})
+
+    return run
+
+
+def pieces_of(held: DataFrame, identifier: Identifier) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cross-entropies, characters, true columns) of the held-out pieces: no more than the bounded sample has words."""
+    rows = held.mapInPandas(_pieces(held.sparkSession.sparkContext.broadcast(identifier)), "code string, n_chars bigint, entropy array<double>").toPandas()
+    column = {name: i for i, name in enumerate(identifier.model.languages)}
+    entropy = np.array(rows["entropy"].tolist(), dtype=float).reshape(len(rows), len(column))
+    return entropy, rows["n_chars"].to_numpy(), rows["code"].map(column).to_numpy(dtype=np.int64)
+
+
+def fit(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
+    rounds: int = 2,
+) -> Identifier:
     """Fit the models on at most ``sample`` labelled posts of each language, and calibrate them on as many others.
 
-    The sample are the posts with the lowest hash of their id, so it doesn't depend on their order. The
+    The sample are the posts with the lowest hash of their id, so it doesn't depend on their order; of these,
+    posts of over ``sample_chars`` characters (a bound of its size) and empty ones are left out. The
     labels are partly wrong and posts mixed: after the first fit each round keeps only the words of parts
     whose language is the label's, and fits again. Counts are made by Spark; the driver gets the distinct
-    words of the bounded sample. Held-out posts give each language's limit of cross-entropy and the
-    sharpness of the confidence. Raises ValueError if no language has a labelled post with words.
+    words of the bounded sample. Held-out posts give each language's limit of cross-entropy; pieces of 1 to 13
+    words of their parts in the label's language give the sharpness at which a piece's true language is
+    likeliest, so that of parts with confidence c about the share c is right. Raises ValueError if no language has a labelled post with words.
     """
     require(docs, doc_id, text, label)
     spark = docs.sparkSession
-    rows = docs.select(F.col(q(doc_id)).alias("id"), F.col(q(text)).alias("text"), label_code(F.col(q(label)), languages).alias("code")).where("code IS NOT NULL AND id IS NOT NULL AND length(text) > 0")
+    keys = docs.select(F.col(q(doc_id)).alias("id"), label_code(F.col(q(label)), languages).alias("code")).where("code IS NOT NULL AND id IS NOT NULL")
     order = Window.partitionBy("code").orderBy(F.xxhash64("id"), "id")
-    ranked = rows.select("id", "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * sample)
-    chosen = rows.join(F.broadcast(ranked.select("id", "rank").dropDuplicates(["id"])), "id").persist()  # at most 2 * sample * languages ids
+    ranked = keys.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2 * sample)
+    texts = docs.select(F.col(q(doc_id)).alias("id"), F.col(q(text)).alias("text")).where(F.length("text").between(1, sample_chars))
+    chosen = materialize(texts.join(F.broadcast(ranked.dropDuplicates(["id"])), "id"), "language-sample")  # at most 2 * sample * languages ids
     # Even ranks are held out.
     train, held = chosen.where("rank % 2 = 1").select("code", "text"), chosen.where("rank % 2 = 0").select("id", "code", "text")
 
@@ -202,7 +265,6 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: s
         model = Model.fit(by)
         identifier = Identifier(model, np.full(len(model.languages), np.inf), np.zeros(len(model.languages)))
     if identifier is None:
-        chosen.unpersist()
         raise ValueError("no labelled post with words")
     checked = segments(held, identifier, doc_id="id", keep=["code"]).where("language = code").select("language", "cross_entropy", "n_chars").toPandas()
     mean, spread = identifier.mean.copy(), identifier.spread.copy()
@@ -211,8 +273,7 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: s
         if len(own):
             m = float(np.average(own["cross_entropy"], weights=own["n_chars"]))
             mean[i], spread[i] = SLACK * m, max(0.0, float(np.quantile((own["cross_entropy"] - m) * np.sqrt(own["n_chars"]), ACCEPT)))
-    chosen.unpersist()
-    return Identifier(model, mean, spread)
+    return Identifier(model, mean, spread, fitted_sharpness(*pieces_of(held, identifier)))
 
 
 def languages_of(parts: DataFrame, *, doc_id: str = "doc_id", keep: Sequence[str] = (), min_words: int = 12) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from strainspark.llm.kneser import Model
 from strainspark.llm.langid import Identifier, fit, label_code, languages_of, segments
@@ -57,3 +58,42 @@ def test_held_out_accuracy(spark):
     agree = (known["language"] == code[known.index]).mean()
     assert agree > 0.88, agree  # the labels themselves are wrong for some posts
     assert not math.isnan(known["confidence"].mean())
+
+
+def test_a_long_post_is_read_like_a_short_one(spark):
+    """A few words in another language amid thousands don't begin a part, wherever they stand."""
+    few = EN[:1]
+    words = (DE * 500)[:9000]
+    for at in (100, 4094, 4096, 8192):
+        text = " ".join([*words[:at], *few, *words[at:]])
+        parts = segments(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), identifier()).collect()
+        assert [(r["language"], r["n_words"]) for r in parts] == [("de", 9001)]
+
+
+def test_confidence_is_reliable(spark):
+    """Of the held-out pieces with a confidence of about c about the share c is right."""
+    from strainspark.llm.langid import likelihood, pieces_of
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ident = fit(docs.where("doc_id % 2 = 0"), sample=60)
+    other = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), label_code(F.col("lang")).alias("code"), "text").where("code IS NOT NULL")
+    entropy, size, truth = pieces_of(other, ident)
+    p = likelihood(entropy, size, ident.sharpness)
+    sure, right = p.max(axis=1), p.argmax(axis=1) == truth
+    assert len(truth) > 1000 and abs(sure.mean() - right.mean()) < 0.02
+    # Expected calibration error over ten bins.
+    bins = np.minimum((sure * 10).astype(int), 9)
+    error = sum(abs(sure[bins == b].mean() - right[bins == b].mean()) * (bins == b).mean() for b in range(10) if (bins == b).any())
+    assert error < 0.05, error
+    # A word alone is less sure than thirteen.
+    assert sure[size < 8].mean() < sure[size > 60].mean()
+
+
+def test_sharpness():
+    from strainspark.llm.langid import fitted_sharpness, likelihood
+
+    rng = np.random.default_rng(1)
+    entropy, size = rng.normal(2, 0.3, (4000, 3)), rng.integers(5, 50, 4000)
+    p = likelihood(entropy, size, 2.0)
+    truth = np.array([rng.choice(3, p=x) for x in p])
+    assert 1.6 < fitted_sharpness(entropy, size, truth) < 2.5 and fitted_sharpness(entropy[:0], size[:0], truth[:0]) == 1.0
