@@ -49,18 +49,37 @@ def p1_affected(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"), F.col("n").alias("n_samples"), F.round("lift", 6).alias("lift"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p1_affected": p1_affected}
+def p1_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs after samples that were called again are given anew: whole contents of every sample that has a hit in
+    the last tenth of the time become what was loaded then, so pairs are counted down and samples shrink."""
+    t = PairTable(spark, scratch(spark, "pairs"))
+    h = baskets(spark, d)
+    t.apply(h, "sample", "gene")
+    first, last = table(spark, d, "hits").agg(F.min("loaded_at"), F.max("loaded_at")).first()
+    if first is not None:
+        t.apply(h.where(F.col("loaded_at") > F.lit(first + (last - first) * 0.9)), "sample", "gene", replace=True)
+    s = t.scores()
+    return s.select(F.col("a").alias("gene_a"), F.col("b").alias("gene_b"), F.col("n").alias("n_samples"), F.round("lift", 6).alias("lift"))
+
+
+QUERIES = {"p1_replaced": p1_replaced, "p1_found": p1_found, "p1_pairs": p1_pairs, "p1_affected": p1_affected}
 
 _P = """WITH b AS (SELECT DISTINCT sample, trim(gene) AS gene FROM hits WHERE "primary" AND sample IS NOT NULL AND trim(gene) <> ''),
 t AS (SELECT count(DISTINCT sample) AS t FROM b), i AS (SELECT gene, count(*) AS n FROM b GROUP BY gene),
 p AS (SELECT x.gene AS gene_a, y.gene AS gene_b, count(*) AS n FROM b x JOIN b y ON x.sample = y.sample AND x.gene < y.gene GROUP BY ALL),
 s AS (SELECT p.gene_a, p.gene_b, p.n, i.n AS na, j.n AS nb, t FROM p JOIN i ON i.gene = p.gene_a JOIN i j ON j.gene = p.gene_b, t)
 """
+_REPLACED = """WITH w AS (SELECT min(loaded_at) + (max(loaded_at) - min(loaded_at)) * 0.9 AS cut FROM hits),
+h AS (SELECT sample, trim(gene) AS gene, coalesce(loaded_at > cut, false) AS late FROM hits, w WHERE "primary" AND sample IS NOT NULL AND trim(gene) <> ''),
+again AS (SELECT DISTINCT sample FROM h WHERE late),
+b AS (SELECT DISTINCT sample, gene FROM h WHERE late OR sample NOT IN (SELECT sample FROM again)),
+"""
 _LAST = """, w AS (SELECT min(loaded_at) + (max(loaded_at) - min(loaded_at)) * 0.9 AS cut FROM hits),
 early AS (SELECT DISTINCT sample, trim(gene) AS gene FROM hits, w WHERE "primary" AND sample IS NOT NULL AND trim(gene) <> '' AND loaded_at <= cut),
 added AS (SELECT * FROM b EXCEPT SELECT * FROM early), touched AS (SELECT DISTINCT gene FROM added)
 """
 SQL = {
+    "p1_replaced": _REPLACED + _P.split("\n", 1)[1] + "SELECT gene_a, gene_b, n AS n_samples, round(n::DOUBLE * t / (na::DOUBLE * nb), 6) AS lift FROM s",
     "p1_found": _P + "SELECT gene_a, gene_b FROM s WHERE n >= 5 AND 100 * n >= t AND n * t >= 3 * na * nb",
     "p1_pairs": _P + "SELECT gene_a, gene_b, n AS n_samples, round(n::DOUBLE * t / (na::DOUBLE * nb), 6) AS lift FROM s",
     "p1_affected": _P + _LAST + """SELECT gene_a, gene_b, n AS n_samples, round(n::DOUBLE * t / (na::DOUBLE * nb), 6) AS lift FROM s

@@ -69,3 +69,45 @@ def test_large_basket_in_blocks(spark):
     rows = spark.range(n).select(F.lit("b").alias("basket"), F.format_string("i%02d", "id").alias("item"), F.lit(1).alias("s"))
     got = pair_deltas(rows, block=8)
     assert got.count() == n * (n - 1) // 2 and got.where("d <> 1 OR a >= b").count() == 0
+
+
+def test_a_failed_batch_changes_nothing_and_can_be_given_again(spark, monkeypatch):
+    import pytest
+
+    table = PairTable(spark, scratch(spark, "t"), buckets=2)
+    table.apply(spark.createDataFrame([("1", "a"), ("1", "b")], "k string, v string"), "k", "v")
+    more = spark.createDataFrame([("2", "a"), ("2", "b"), ("3", "c")], "k string, v string")
+
+    def fail(*a):
+        raise OSError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(PairTable, "_save", fail)
+        with pytest.raises(OSError):
+            table.apply(more, "k", "v")
+    check(table, {"1": {"a", "b"}})
+    other = PairTable(spark, table.path)
+    table.apply(more, "k", "v")
+    check(table, {"1": {"a", "b"}, "2": {"a", "b"}, "3": {"c"}})
+    with pytest.raises(RuntimeError):
+        other.apply(spark.createDataFrame([("9", "z")], "k string, v string"), "k", "v")
+    check(PairTable(spark, table.path), {"1": {"a", "b"}, "2": {"a", "b"}, "3": {"c"}})
+
+
+def test_buckets_grow(spark):
+    table, state = PairTable(spark, scratch(spark, "t"), buckets=1, bucket_rows=8), {}
+    for step in range(3):
+        change = {f"b{step}{k}": {f"i{(step * 3 + k + j) % 17}" for j in range(6)} for k in range(6)}
+        state |= change
+        table.apply(spark.createDataFrame([(b, i) for b, m in change.items() for i in m], "k string, v string"), "k", "v")
+    check(table, state)
+    assert table.manifest["buckets"]["pairs"] > 1 and table.manifest["rows"]["pairs"] <= 2 * 8 * table.manifest["buckets"]["pairs"]
+    table.vacuum()
+    check(PairTable(spark, table.path), state)
+
+
+def test_a_manifest_that_was_never_finished_is_no_table(spark):
+    table = PairTable(spark, scratch(spark, "t"))
+    fs, at = table._fs(f"{table.path}/manifest/1.tmp")
+    fs.create(at, True).close()
+    assert PairTable(spark, table.path).manifest["batch"] == 0
