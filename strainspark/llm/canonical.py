@@ -66,9 +66,48 @@ def contained(phrase: str, text: str, budget: int) -> tuple[int, int]:
     return (least, end) if least <= budget else (budget + 1, 0)
 
 
+def least_edits(phrases: Sequence[str], texts: Sequence[str]) -> np.ndarray:
+    """The edits that :func:`contained` finds with any budget, for many phrases of at most 63 characters at once: one step
+    for each place of the longest text, over all pairs."""
+    # Phrases and texts repeat: each is spelt once.
+    each, of = np.unique(np.array(phrases, dtype=object), return_inverse=True)
+    read, text_of = np.unique(np.array(texts, dtype=object), return_inverse=True)
+    sizes = np.array([len(p) for p in each], dtype=np.int64)[of]
+    lengths = np.array([len(t) for t in read], dtype=np.int64)
+    n, longest = len(phrases), int(lengths.max(initial=0))
+    # Characters as small numbers: where[character, phrase] has the bits of its places.
+    number = {c: k for k, c in enumerate(sorted(set("".join(each))), 1)}
+    where = np.zeros((len(number) + 1, len(each)), dtype=np.uint64)
+    for i, p in enumerate(each):
+        for j, c in enumerate(p):
+            where[number[c], i] |= np.uint64(1 << j)
+    codes = np.zeros((longest, len(read)), dtype=np.int64)
+    for i, t in enumerate(read):
+        codes[: len(t), i] = [number.get(c, 0) for c in t]
+    lengths = lengths[text_of]
+    one = np.uint64(1)
+    full = (one << sizes.astype(np.uint64)) - one
+    top = one << (sizes - 1).astype(np.uint64)
+    up, down, d0, before = full.copy(), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    now, least = sizes.copy(), sizes.copy()
+    for j in range(longest):
+        eq = where[codes[j, text_of], of]
+        swap = ((~d0 & eq) << one) & before
+        d0 = (((eq & up) + up) ^ up) | eq | down | swap
+        more, less = down | (~(d0 | up) & full), d0 & up
+        now = now + ((more & top) != 0) - ((less & top) != 0)
+        more, less = more << one, less << one
+        up, down = (less | ~(d0 | more)) & full, d0 & more & full
+        before = eq
+        least = np.where((now < least) & (j < lengths), now, least)
+    return least
+
+
 def _expanded(value: str, phrases: list[str]) -> str:
     """The value's letters and digits without blanks; a token that ends in a dot becomes the word of the
     phrases that begins with it (but for one edit, if none does) and isn't there in full."""
+    if "." not in value:
+        return _JOINED.sub("", value)
     tokens = value.split()
     there = {t for t in tokens if not t.endswith(".")}
     spare = [w for p in phrases for w in p.split() if w not in there]
@@ -148,21 +187,34 @@ def _scored(threshold: float, edits: int, sure: float, exact: bool):
     def weights(x: dict) -> tuple[str, float, dict]:
         return x["norm"], x["total"], {g["g"]: g["w2"] for g in x["grams"]}
 
+    def possible(near: list, known: dict, entry: list, norm: list) -> list:
+        """Of the candidates those that may hold the first phrase of one short word within the most edits."""
+        asked = [(k, p) for k in near for p in [next((p for p, _, _ in known[entry[k]][1] if " " not in p and len(p) < 64), None)] if p]
+        if not asked:
+            return near
+        d = least_edits([p for _, p in asked], [_expanded(norm[k], [p for p, _, _ in known[entry[k]][1]]) for k, _ in asked])
+        out = {k for (k, p), x in zip(asked, d) if x > min(edits, len(p) // 3)}
+        return [k for k in near if k not in out]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for batch in batches:
             value, norm, grams, entry, own, phrases = batch.columns
-            out, rows = [], []
-            for k, (t, g, e) in enumerate(zip(norm.to_pylist(), grams, entry.to_pylist())):
+            out, rows, near = [], [], []
+            texts, ids, mine, last = norm.to_pylist(), entry.to_pylist(), {}, None
+            for k, e in enumerate(ids):
                 if e not in known:
                     known[e] = weights(own[k].as_py()), [weights(p) for p in phrases[k].as_py()]
-                (_, length, w), named = known[e]
-                mine = set(g.values.to_numpy().tolist())
-                if any(sum(x for c, x in each.items() if c in mine) < total * threshold * threshold for _, total, each in named):
-                    continue
-                dot = sum(x for c, x in w.items() if c in mine)
+                if texts[k] != last:
+                    last, its = texts[k], set(grams[k].values.to_numpy().tolist())
+                if all(sum(x for c, x in each.items() if c in its) >= total * threshold * threshold for _, total, each in known[e][1]):
+                    near.append(k)
+                    mine[k] = its
+            for k in possible(near, known, ids, texts) if exact else near:
+                (_, length, w), named = known[ids[k]]
+                dot = sum(x for c, x in w.items() if c in mine[k])
                 score = math.sqrt(dot / length)
-                found = distance(t, [p for p, _, _ in named], edits, score >= sure) if exact else (0, 0, 0)
+                found = distance(texts[k], [p for p, _, _ in named], edits, score >= sure) if exact else (0, 0, 0)
                 if found is not None:
                     rows.append(k)
                     out.append((dot, score, *found))
