@@ -52,7 +52,7 @@ def screen(hsps: DataFrame, pieces: DataFrame, meta: DataFrame, *, limits: Mappi
     merged = merge_hsps(hsps.where(F.col("pident") >= least - SLACK)).withColumn("database", F.regexp_extract("sseqid", r"^(.*)_[^_]*$", 1))
     found = annotated(located(thresholds(merged, limits, identity=identity, coverage=coverage), pieces), meta)
     found = found.withColumn("hit", F.concat_ws("|", "qseqid", "sseqid", "query_start", "strand"))
-    order = [(F.col("bitscore"), "desc"), (F.array_join(F.transform(natural_key(F.col("gene")), lambda x: F.concat(F.when(x.tag == 1, F.lit("~")).otherwise(""), F.lpad(x.number.cast("string"), 12, "0"), x.letter)), ""), "asc")]
+    order = [(F.col("bitscore"), "desc"), (F.array_join(F.transform(natural_key(F.col("gene")), lambda x: F.concat(F.when(x.tag == 1, F.lit("~")).otherwise(""), F.lpad(x.number.cast("string"), 19, "0"), x.letter)), ""), "asc")]
     kept = greedy_dedup(found, ["database", "sample", "contig"], "start", "end", "hit", order, fraction=fraction)
     whole = F.col("coverage_pct") >= 100
     return kept.select(
