@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import deque
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -15,7 +17,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from strainspark.columns import q, require
 
 #: Rows in one packed piece of a run.
-PIECE = 1 << 15
+PIECE = 1 << 12
+#: Pieces that are taken in together, still packed, when one is due.
+AHEAD = 64
 
 
 class LoserTree:
@@ -62,18 +66,29 @@ class LoserTree:
 
 
 class _Run:
-    """Pieces of one sorted run. ``starts`` are the rows at which a group begins, for seeking."""
-
-    def __init__(self, pieces: list[pa.RecordBatch], width: int):
-        table = pa.Table.from_batches(pieces)
-        self.cols = [c.to_pylist() for c in table.columns[:width]]
-        group = table.column(0).combine_chunks()
-        n = table.num_rows
-        change = np.ones(n, dtype=bool)
-        if n > 1:
-            change[1:] = pa.compute.not_equal(group.slice(1), group.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        self.starts = np.append(np.flatnonzero(change), n).tolist()
-        self.at_group, self.row, self.n = 0, 0, n
+    """Pieces of one sorted run, of which one is unpacked at a time. ``starts`` are the rows at which a group begins, for
+    seeking."""
+
+    def __init__(self, width: int):
+        self.width, self.packed = width, deque()
+        self.at_group = self.row = self.n = 0
+
+    def add(self, raw: bytes) -> None:
+        self.packed.append(raw)
+        if self.row >= self.n:
+            self._open()
+
+    def _open(self) -> None:
+        """The next piece, if this one is used up and another is there."""
+        while self.row >= self.n and self.packed:
+            table = pa.Table.from_batches(_unpack(self.packed.popleft()))
+            self.cols = [c.to_pylist() for c in table.columns[: self.width]]
+            group, n = table.column(0).combine_chunks(), table.num_rows
+            change = np.ones(n, dtype=bool)
+            if n > 1:
+                change[1:] = pa.compute.not_equal(group.slice(1), group.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            self.starts = np.append(np.flatnonzero(change), n).tolist()
+            self.at_group, self.row, self.n = 0, 0, n
 
     def head(self):
         return None if self.row >= self.n else tuple(c[self.row] for c in self.cols)
@@ -82,26 +97,50 @@ class _Run:
         self.row += 1
         if self.row >= self.starts[self.at_group + 1]:
             self.at_group += 1
+            self._open()
         return self.head()
 
-    def seek(self):
-        """To the first row of the next group."""
-        self.at_group += 1
-        self.row = self.starts[self.at_group]
+    def seek(self, group):
+        """To the first row of the next group, which may begin in a later piece."""
+        while self.row < self.n and self.cols[0][self.row] == group:
+            self.at_group += 1
+            self.row = self.starts[self.at_group]
+            self._open()
         return self.head()
 
 
-def merge_runs(runs: list[list[pa.RecordBatch]], width: int, n: int) -> Iterator[tuple]:
-    """The first ``n`` different keys of each group (a key's first field), over all runs, in order."""
-    own = [_Run(r, width) for r in runs]
-    tree = LoserTree([r.head() for r in own])
+def merge_runs(pieces: Iterable[tuple], width: int, n: int) -> Iterator[tuple]:
+    """The first ``n`` different keys of each group (a key's first field), over all runs, in order.
+
+    ``pieces`` are (first group, run, packed rows) in order of their first group, a run's in their own order. A
+    piece is taken in before the first row of its first group is put out, so of each run one unpacked piece is
+    held, and besides at most ``AHEAD`` packed ones; runs that are used up are forgotten.
+    """
+    source = iter(pieces)
+    due = next(source, None)
+    runs: dict[int, _Run] = {}
+    own: list[_Run] = []
+    tree = None
     group, last, done = None, None, 0
-    while (key := tree.heads[tree.winner]) is not None:
+    while True:
+        key = tree.heads[tree.winner] if tree is not None else None
+        if due is not None and (key is None or key[0] >= due[0]):
+            for _ in range(AHEAD):
+                if due is None:
+                    break
+                runs.setdefault(due[1], _Run(width)).add(due[2])
+                due = next(source, None)
+            runs = {r: x for r, x in runs.items() if x.head() is not None}
+            own = list(runs.values())
+            tree = LoserTree([x.head() for x in own]) if own else None
+            continue
+        if key is None:
+            return
         run = own[tree.winner]
         if key[0] != group:
             group, last, done = key[0], None, 0
         if done >= n:
-            tree.replace(run.seek())
+            tree.replace(run.seek(group))
             continue
         if key != last:
             yield key
@@ -120,11 +159,9 @@ def _unpack(raw: bytes) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(raw))
 
 
-PACKED = "bucket int, run bigint, piece int, rows bigint, packed binary"
-
-
 def _make_runs(width: int, n: int):
-    """Rows sorted by (bucket, key): at most ``n`` different keys of each group stay; each bucket's are packed."""
+    """Rows sorted by (bucket, key): at most ``n`` different keys of each group stay; each bucket's are packed into pieces
+    (bucket, first group, run, piece, packed)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,10 +174,10 @@ def _make_runs(width: int, n: int):
             if held:
                 whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 raw = _pack(whole)
-                row = [pa.array([state["bucket"]], pa.int32()), pa.array([task], pa.int64()), pa.array([state["piece"]], pa.int32()), pa.array([whole.num_rows], pa.int64()), pa.array([raw], pa.binary())]
+                row = [pa.array([state["bucket"]], pa.int32()), whole.column(0).slice(0, 1), pa.array([task], pa.int64()), pa.array([state["piece"]], pa.int32()), pa.array([raw], pa.binary())]
                 held.clear()
                 state["piece"], state["rows"] = state["piece"] + 1, 0
-                yield pa.RecordBatch.from_arrays(row, ["bucket", "run", "piece", "rows", "packed"])
+                yield pa.RecordBatch.from_arrays(row, ["bucket", "first", "run", "piece", "packed"])
 
         for batch in batches:
             size = batch.num_rows
@@ -179,40 +216,36 @@ def _make_runs(width: int, n: int):
 
 
 def _merge(width: int, n: int, names: list[str], kinds: list[pa.DataType]):
-    """Rows of PACKED sorted by bucket, run and piece: each bucket's runs are merged."""
+    """Pieces sorted by bucket, first group, run and piece: each bucket's runs are merged as their pieces come in."""
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         group, score, row_id, rank = zip(*rows)
         cols = [group, [0.0 - x for x in score], row_id, rank]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
-    def bucket_rows(runs: dict[int, list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-        block: list[tuple] = []
-        group, rank = None, 0
-        for key in merge_runs(list(runs.values()), width, n):
-            group, rank = key[0], rank + 1 if rank and key[0] == group else 1
-            block.append((group, key[1], key[-1], rank))
-            if len(block) >= 1 << 14:
-                yield out(block)
-                block = []
-        if block:
-            yield out(block)
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, runs = None, {}
-        for batch in batches:
-            for b, r, raw in zip(batch.column("bucket").to_pylist(), batch.column("run").to_pylist(), batch.column("packed")):
-                if b != bucket and runs:
-                    yield from bucket_rows(runs)
-                    runs = {}
-                bucket = b
-                runs.setdefault(r, []).extend(_unpack(raw.as_py()))
-        if runs:
-            yield from bucket_rows(runs)
+        def pieces() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(batch.column("bucket").to_pylist(), batch.column("first").to_pylist(), batch.column("run").to_pylist(), (x.as_py() for x in batch.column("packed")))
+
+        for _, own in itertools.groupby(pieces(), key=lambda p: p[0]):
+            block: list[tuple] = []
+            group, rank = None, 0
+            for key in merge_runs((p[1:] for p in own), width, n):
+                group, rank = key[0], rank + 1 if rank and key[0] == group else 1
+                block.append((group, key[1], key[-1], rank))
+                if len(block) >= 1 << 14:
+                    yield out(block)
+                    block = []
+            if block:
+                yield out(block)
 
     return run
 
 
+PIECES = [T.StructField("run", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("packed", T.BinaryType())]
+
+
 def _key(df: DataFrame, name: str, way: str) -> Column:
     """A column that is never null and ascends in the wanted order: null comes last, NaN counts as the highest."""
     kind, c = df.schema[name].dataType, F.col(q(name))
@@ -236,15 +269,16 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[tuple[str, str]]
     1. Each task sorts its own rows by bucket (hash of the group), group, score and ties, and keeps the
        first ``n`` of each group, so a group of any size shrinks to n rows a task before anything is
        moved. What is left of a bucket is a sorted run, stored packed in the shuffle.
-    2. A task gets all runs of its buckets, merges them through a loser tree, and after n rows of a
-       group moves every run on to its next group without looking at the rows between.
+    2. A task gets the pieces of all runs of its buckets in order of their first group, merges the runs through a
+       loser tree as their pieces come in (of each run one piece is unpacked), and after n rows of a group moves
+       every run on to its next group without looking at the rows between.
 
     Equal scores are ordered by the ``ties`` (column, 'asc' or 'desc'), then by the lower ``row_id``.
     Rows equal in all of these are one row. A row with a null group, null id, or a null or NaN score
     is left out. In a tie column null ranks last and NaN as infinity. A group of fewer rows gives all
     of them, an empty table gives none. No other column is read, whatever its name. Numbers can be
-    'asc' or 'desc', strings only 'asc'. ``buckets`` defaults to 4 for each shuffle partition; the runs
-    of one bucket, n rows a group and task at most, must fit a task's memory.
+    'asc' or 'desc', strings only 'asc'. ``buckets`` defaults to 4 for each shuffle partition; a task's
+    memory grows with the number of runs (one piece each), not with the rows of its buckets.
     """
     require(df, group, score, row_id, *(c for c, _ in ties))
     if n < 1:
@@ -257,7 +291,7 @@ def top_n(df: DataFrame, group: str, score: str, ties: Sequence[tuple[str, str]]
     width = len(keys)
     rows = df.where(F.col(q(group)).isNotNull() & F.col(q(row_id)).isNotNull() & value.isNotNull() & ~F.isnan(value))
     rows = rows.select(F.pmod(F.xxhash64(F.col(q(group))), F.lit(buckets)).cast("int").alias("_b"), *keys)
-    runs = rows.sortWithinPartitions(*rows.columns).mapInArrow(_make_runs(width, n), PACKED)
-    packed = runs.repartition("bucket").sortWithinPartitions("bucket", "run", "piece")
+    runs = rows.sortWithinPartitions(*rows.columns).mapInArrow(_make_runs(width, n), T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("first", df.schema[group].dataType), *PIECES]))
+    packed = runs.repartition("bucket").sortWithinPartitions("bucket", "first", "run", "piece")
     out = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField(score, T.DoubleType()), T.StructField(row_id, df.schema[row_id].dataType), T.StructField("rank", T.IntegerType())])
     return packed.mapInArrow(_merge(width, n, out.names, [to_arrow_type(f.dataType) for f in out]), out)

@@ -48,3 +48,39 @@ def test_hot_group_and_many_runs(spark):
 
 def test_empty(spark):
     assert top_n(spark.createDataFrame([], SCHEMA), "g", "score", [], "id", 3).collect() == []
+
+
+def test_merge_holds_one_open_piece_of_each_run():
+    """Runs of many small pieces come in by their first group; groups go on over pieces; no more is held than is due."""
+    import random
+
+    import pyarrow as pa
+
+    from strainspark.llm import topn
+
+    rng = random.Random(4)
+    rows, pieces = [], []
+    for run in range(7):
+        own = sorted((f"g{rng.randrange(60):02d}", float(rng.randrange(50)), run * 10_000 + k) for k in range(600))
+        rows += own
+        for k in range(0, len(own), 16):
+            part = own[k : k + 16]
+            batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part)], ["g", "s", "i"])
+            pieces.append((part[0][0], run, k, topn._pack(batch)))
+    pieces.sort(key=lambda p: p[:3])
+    taken = []
+
+    def source():
+        for g, run, _, raw in pieces:
+            taken.append(g)
+            yield g, run, raw
+
+    got, most = [], 0
+    for key in topn.merge_runs(source(), 3, 3):
+        got.append(key)
+        # Pieces taken in whose first group lies ahead of what is put out.
+        most = max(most, sum(g > key[0] for g in taken))
+    want = []
+    for g in sorted({r[0] for r in rows}):
+        want += sorted(r for r in rows if r[0] == g)[:3]
+    assert got == want and most <= topn.AHEAD + 1
