@@ -39,17 +39,34 @@ def shared_loci(calls: DataFrame, profiles: DataFrame, sample: str, st: str, loc
 
 def lookup(calls: DataFrame, profiles: DataFrame, sample: str, st: str, locus: str, allele: str, *, missing: int = 0) -> DataFrame:
     """``sample``, ``st``, ``rivals``: the profile that agrees at all loci of the sample but for at most ``missing`` that
-    it has no call for; of several the lowest, and the others (in order, by comma) as rivals.
+    it has no call for; of several the lowest, and all others (in order, by comma) as rivals.
 
-    Null ``st`` where none does. A call that differs rules a profile out; a locus that the profile lacks doesn't count.
+    Null ``st`` where none does. A call that differs, or of a locus that the profile lacks, rules a profile out. A
+    locus has one call and one allele: of several the lowest counts. Without ``missing`` loci a sample's calls are
+    the whole profile, so both are brought together by a hash of their ordered pairs, whatever the number of
+    samples that share an allele; else pairs that share alleles are counted (:func:`shared_loci`).
     """
-    n_loci = profiles.groupBy(q(st)).agg(F.count_distinct(q(locus)).alias("_loci"))
-    n_calls = calls.where(F.col(q(allele)).isNotNull()).groupBy(q(sample)).agg(F.count_distinct(q(locus)).alias("_calls"))
-    met = shared_loci(calls, profiles, sample, st, locus, allele).join(n_loci, st).join(n_calls, sample)
-    fit = met.where((F.col("n_shared") == F.col("_calls")) & (F.col("_loci") - F.col("n_shared") <= missing))
+
+    def one(df: DataFrame, key: str) -> DataFrame:
+        return df.where(F.col(q(allele)).isNotNull()).groupBy(q(key), q(locus)).agg(F.min(q(allele)).alias(allele))
+
+    c, p = one(calls, sample), one(profiles, st)
+    if missing == 0:
+
+        def whole(df: DataFrame, key: str, out: str) -> DataFrame:
+            w = df.groupBy(q(key)).agg(F.sort_array(F.collect_list(F.struct(F.col(q(locus)).alias("l"), F.col(q(allele)).alias("a")))).alias(out))
+            return w.withColumn(out + "_h", F.xxhash64(out))
+
+        a, b = whole(c, sample, "_c"), whole(p, st, "_p")
+        fit = a.join(b, (F.col("_c_h") == F.col("_p_h")) & (F.col("_c") == F.col("_p"))).select(q(sample), q(st))
+    else:
+        n_loci = p.groupBy(q(st)).agg(F.count(F.lit(1)).alias("_loci"))
+        n_calls = c.groupBy(q(sample)).agg(F.count(F.lit(1)).alias("_calls"))
+        met = shared_loci(c, p, sample, st, locus, allele).join(n_loci, st).join(n_calls, sample)
+        fit = met.where((F.col("n_shared") == F.col("_calls")) & (F.col("_loci") - F.col("n_shared") <= missing))
     sts = fit.groupBy(q(sample)).agg(F.sort_array(F.collect_list(q(st))).alias("_s"))
-    all_samples = calls.select(q(sample)).distinct()
-    return all_samples.join(sts, sample, "left").select(q(sample), F.get("_s", F.lit(0)).alias("st"), F.when(F.size("_s") > 1, F.array_join(F.transform(F.slice("_s", F.lit(2), F.size("_s")), lambda x: x.cast("string")), ", ")).otherwise("").alias("rivals"))
+    others = F.array_join(F.transform(F.slice("_s", F.lit(2), F.size("_s")), lambda x: x.cast("string")), ", ")
+    return calls.select(q(sample)).distinct().join(sts, sample, "left").select(q(sample), F.get("_s", F.lit(0)).alias("st"), F.when(F.size("_s") > 1, others).otherwise("").alias("rivals"))
 
 
 def nearest(calls: DataFrame, profiles: DataFrame, sample: str, st: str, locus: str, allele: str, *, lineage: str | None = None, differ: int = 1) -> DataFrame:

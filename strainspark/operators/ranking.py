@@ -34,9 +34,16 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 
 
 def latest_records(df: DataFrame, record: str, version: str) -> DataFrame:
-    """Each record once, as it was loaded last; rows with a null id stay, each its own record."""
-    known = best_per_key(df.where(F.col(q(record)).isNotNull()), [record], [F.col(q(version)).desc_nulls_last(), F.xxhash64(*[F.col(q(c)) for c, t in df.dtypes if not t.startswith("map")])])
-    return known.unionByName(df.where(F.col(q(record)).isNull()))
+    """Each record once, as it was loaded last; rows with a null id stay, each its own record.
+
+    One scan: rows without an id are spread over the tasks by their hash and pass the window untouched.
+    """
+    row = F.xxhash64(*[F.col(q(c)) for c, t in df.dtypes if not t.startswith("map")])
+    place, salt = free(df.columns, "_place"), free(df.columns, "_salt")
+    key = F.col(q(record))
+    marked = df.withColumn(salt, F.when(key.isNull(), F.pmod(row, F.lit(4096))).otherwise(F.lit(0)))
+    first = Window.partitionBy(q(record), salt).orderBy(F.col(q(version)).desc_nulls_last(), row)
+    return marked.withColumn(place, F.row_number().over(first)).where(key.isNull() | (F.col(place) == 1)).drop(place, salt)
 
 
 def preferred(df: DataFrame, group: Sequence[str], order: Sequence[Column], measure: str, *, top: int, within: float, forced: Column) -> DataFrame:

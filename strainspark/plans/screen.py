@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strainspark.functions.names import coverage_string, natural_key
 from strainspark.operators.hsps import merge_hsps
 from strainspark.operators.overlap import greedy_dedup
+from strainspark.session import materialize
 
 #: Identity below the threshold at which HSPs still take part: merging can raise a hit's identity.
 SLACK = 5.0
@@ -52,7 +53,9 @@ def screen(hsps: DataFrame, pieces: DataFrame, meta: DataFrame, *, limits: Mappi
     merged = merge_hsps(hsps.where(F.col("pident") >= least - SLACK)).withColumn("database", F.regexp_extract("sseqid", r"^(.*)_[^_]*$", 1))
     found = annotated(located(thresholds(merged, limits, identity=identity, coverage=coverage), pieces), meta)
     found = found.withColumn("hit", F.concat_ws("|", "qseqid", "sseqid", "query_start", "strand"))
-    order = [(F.col("bitscore"), "desc"), (F.array_join(F.transform(natural_key(F.col("gene")), lambda x: F.concat(F.when(x.tag == 1, F.lit("~")).otherwise(""), F.lpad(x.number.cast("string"), 19, "0"), x.letter)), ""), "asc")]
+    order = [(F.col("bitscore"), "desc"), (F.array_join(F.transform(natural_key(F.col("gene")), lambda x: F.concat(F.when(x.tag == 1, F.lit("~")).otherwise(""), F.lpad(x.number.cast("string"), 38, "0"), x.letter)), ""), "asc")]
+    # Read twice, for the order of the suppression and for what it keeps: the merged hits are folded once.
+    found = materialize(found, "screened")
     kept = greedy_dedup(found, ["database", "sample", "contig"], "start", "end", "hit", order, fraction=fraction)
     whole = F.col("coverage_pct") >= 100
     return kept.select(

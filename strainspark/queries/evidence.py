@@ -149,3 +149,13 @@ FROM meta WHERE class <> '' AND element_type IS NOT NULL GROUP BY 1""",
 }
 SQL["mutations_by_sample"] = f"""SELECT sample, count(*) AS n_sites, count(*) FILTER (mutant) AS n_mutant, coalesce(string_agg(DISTINCT symbol, ',' ORDER BY symbol) FILTER (mutant), '') AS mutants
 FROM ({SQL["mutation_calls"]}) GROUP BY sample"""
+# Pairs in order, each taken if neither side is: a recursion over the pairs of each contig.
+SQL["database_matches"] = f"""WITH RECURSIVE {_H}, v AS (SELECT hit_id, database, sample, sequence, "start" AS lo, "end" AS hi FROM h WHERE sample IS NOT NULL AND sequence <> '' AND "start" >= 1 AND "end" >= "start"),
+p AS (SELECT hash(a.sample, a.sequence) AS g, a.hit_id AS a_id, b.hit_id AS b_id, row_number() OVER (PARTITION BY a.sample, a.sequence ORDER BY a.lo, a.hit_id, b.lo, b.hit_id) AS rn
+  FROM v a JOIN v b ON a.sample = b.sample AND a.sequence = b.sequence AND a.database = 'resbase' AND b.database = 'plasdb' AND a.lo <= b.hi AND b.lo <= a.hi
+  WHERE least(a.hi, b.hi) - greatest(a.lo, b.lo) + 1 >= 0.5 * least(a.hi - a.lo + 1, b.hi - b.lo + 1)),
+f AS (SELECT g, rn, a_id, b_id, [a_id] AS aa, [b_id] AS bb, true AS taken FROM p WHERE rn = 1
+  UNION ALL
+  SELECT g, rn, a_id, b_id, CASE WHEN ok THEN list_append(aa, a_id) ELSE aa END, CASE WHEN ok THEN list_append(bb, b_id) ELSE bb END, ok FROM (
+    SELECT p.*, f.aa, f.bb, NOT list_contains(f.aa, p.a_id) AND NOT list_contains(f.bb, p.b_id) AS ok FROM f JOIN p ON p.g = f.g AND p.rn = f.rn + 1))
+SELECT a_id, b_id FROM f WHERE taken"""
