@@ -12,6 +12,7 @@ from strainspark.operators.seeds import search
 from strainspark.plans.mutations import call_mutations, mutation_summary
 from strainspark.queries.joins import merged
 from strainspark.queries.ranked import hits
+from strainspark.queries.strings import SQL as OF_STRINGS
 from strainspark.queries.strings import aligned, consensus_full, reference_lengths, residues
 from strainspark.queries.tables import table
 
@@ -159,3 +160,12 @@ f AS (SELECT g, rn, a_id, b_id, [a_id] AS aa, [b_id] AS bb, true AS taken FROM p
   SELECT g, rn, a_id, b_id, CASE WHEN ok THEN list_append(aa, a_id) ELSE aa END, CASE WHEN ok THEN list_append(bb, b_id) ELSE bb END, ok FROM (
     SELECT p.*, f.aa, f.bb, NOT list_contains(f.aa, p.a_id) AND NOT list_contains(f.bb, p.b_id) AS ok FROM f JOIN p ON p.g = f.g AND p.rn = f.rn + 1))
 SELECT a_id, b_id FROM f WHERE taken"""
+SQL["allele_matches"] = f"""WITH full_length AS ({OF_STRINGS["consensus_full"]}), c AS (SELECT sseqid, regexp_extract(sseqid, '^(.*)_[^_]*$', 1) AS database, upper(consensus) AS seq FROM full_length),
+l AS (SELECT sseqid, max(slen) AS slen FROM hsps WHERE slen > 0 GROUP BY sseqid),
+s AS (SELECT hsp_id, sseqid, replace(sseq, '-', '') AS bare, sstart, send FROM hsps WHERE qseq IS NOT NULL AND sseq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY hsp_id) = 1),
+t AS (SELECT sseqid, hsp_id, slen, repeat('N', least(sstart, send) - 1) || CASE WHEN send < sstart THEN reverse(translate(upper(bare), 'ACGTN', 'TGCAN')) ELSE bare END AS placed FROM s LEFT JOIN l USING (sseqid)),
+a AS (SELECT regexp_extract(sseqid, '^(.*)_[^_]*$', 1) AS database, sseqid || '#' || hsp_id AS allele, upper(rpad(placed, greatest(length(placed), coalesce(slen, 0))::INT, 'N')) AS seq FROM t),
+m AS (SELECT c.sseqid, c.database, allele, length(c.seq)::INT AS length,
+  len(list_filter(range(1, length(c.seq) + 1), lambda i: substr(c.seq, i, 1) = substr(a.seq, i, 1) AND substr(c.seq, i, 1) IN ('A', 'C', 'G', 'T')))::INT AS n_same
+  FROM c JOIN a ON a.database = c.database AND length(a.seq) = length(c.seq))
+SELECT sseqid, database, allele, n_same, length FROM m QUALIFY row_number() OVER (PARTITION BY sseqid, database ORDER BY n_same DESC, allele) = 1"""

@@ -14,6 +14,7 @@ from strainspark.operators.profiles import allele_notation, allele_rank, lookup,
 from strainspark.operators.ranking import best_per_key
 from strainspark.plans.screen import annotated, located, screen, thresholds
 from strainspark.queries.ranked import hits
+from strainspark.queries.strings import key_sql
 from strainspark.queries.tables import table
 from strainspark.session import materialize
 
@@ -277,3 +278,6 @@ CASE WHEN coverage_pct >= 100 THEN 'COMPLETE' ELSE 'PARTIAL' END AS resolution F
 SQL["screen_matrix"] = f"""WITH RECURSIVE {_SCREEN}, own AS (SELECT DISTINCT sample FROM samples WHERE sample IS NOT NULL)
 SELECT own.sample, {", ".join(f"count(DISTINCT CASE WHEN element_type = '{t}' THEN gene END) AS {t}" for t in ("AMR", "PLASMID", "STRESS", "VIRULENCE"))}
 FROM own LEFT JOIN screened s ON s.sample = own.sample GROUP BY own.sample"""
+SQL["annotation_transfer"] = f"""WITH g AS (SELECT DISTINCT gene FROM hits WHERE gene IS NOT NULL), h AS (SELECT gene, {key_sql('gene')} AS key FROM g),
+m AS (SELECT {key_sql('gene')} AS key, min({{'s': subclass, 't': element_type}}) AS x FROM meta WHERE gene IS NOT NULL AND subclass IS NOT NULL AND subclass <> '' GROUP BY 1)
+SELECT gene, m.x.s AS subclass, m.x.t AS element_type FROM h JOIN m USING (key)"""

@@ -200,3 +200,18 @@ SELECT merged_id, array_to_string(list_transform(subject_intervals, lambda x: x.
     "text_pieces": """WITH t AS (SELECT doc_id, text, unnest(range(0, CASE WHEN length(text) > 400 THEN ceil((length(text) - 400) / 300)::INT ELSE 0 END + 1)) AS i FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, (i * 300)::INT AS piece_offset, length(substr(text, (i * 300 + 1)::INT, 400))::INT AS n, md5(substr(text, (i * 300 + 1)::INT, 400)) AS digest FROM t""",
 }
+
+
+def key_sql(name: str) -> str:
+    """SQL of a gene's key for an expression."""
+    bare = f"regexp_replace({name}, '\\s+', '', 'g')"
+    bare = f"regexp_replace({bare}, '^[(](?i:{'|'.join(names.CLASS_PREFIXES)})[)]', '')"
+    bare = f"regexp_replace({bare}, '^([^_]+(?:_[^_]*)*?)_[^_]*_[A-Z]{{1,2}}[0-9]{{5,}}(?:[.][0-9]+)?$', '\\1')"
+    bare = f"CASE WHEN regexp_matches({bare}, '(?:^|_)[0-9]+_[0-9]+$') THEN {bare} ELSE regexp_replace({bare}, '^(.+)_[0-9]+$', '\\1') END"
+    return f"regexp_replace(lower({bare}), '^(bla|aac|aph|ant|aad)_', '\\1')"
+
+
+_FAMILIES = ", ".join(f"'{f}'" for f in names.BLA_FAMILIES)
+SQL["gene_keys"] = f"""WITH g AS (SELECT DISTINCT gene FROM meta WHERE gene IS NOT NULL), k AS (SELECT gene, {key_sql('gene')} AS key FROM g)
+SELECT gene, key, key || CASE WHEN NOT starts_with(key, 'bla') AND len(list_filter([{_FAMILIES}], lambda f: key = f OR starts_with(key, f || '-'))) > 0 THEN ',bla' || key ELSE '' END AS keys,
+coalesce(nullif(regexp_extract(gene, '^(.+?)_[0-9]+$', 1), ''), gene) AS stem FROM k"""
