@@ -146,6 +146,37 @@ def _rarest(least: int, edits: int):
     return run
 
 
+def _banded(band: int):
+    """Rows (id, item, bound, pos, ipos) to parts of regions (id, item, band, n, lo, hi, ilo, ihi), each diagonal in two bands.
+
+    A document's rows follow each other, so the regions of one that begins and ends within a batch are whole, and
+    those below the bound are dropped before the shuffle; the others are put together behind it.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, items = (batch.column(c).dictionary_encode() for c in ("id", "item"))
+            bound, pos, ipos = (batch.column(c).to_numpy().astype(np.int64) for c in ("bound", "pos", "ipos"))
+            i, t = (x.indices.to_numpy().astype(np.int64) for x in (ids, items))
+            first = np.floor_divide(pos - ipos, band)
+            twice = lambda x: np.concatenate([x, x])
+            i, t, bound, pos, ipos, bands = twice(i), twice(t), twice(bound), twice(pos), twice(ipos), np.concatenate([first, first + 1])
+            order = np.lexsort((bands, t, i))
+            i, t, bound, pos, ipos, bands = (x[order] for x in (i, t, bound, pos, ipos, bands))
+            at = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (bands[1:] != bands[:-1])]))
+            n = np.diff(np.append(at, len(i)))
+            ends = (ids.indices[0].as_py(), ids.indices[-1].as_py())
+            keep = (n >= bound[at]) | np.isin(i[at], ends)
+            spans = [f.reduceat(x, at)[keep].astype(np.int32) for x, f in ((pos, np.minimum), (pos, np.maximum), (ipos, np.minimum), (ipos, np.maximum))]
+            at, n = at[keep], n[keep]
+            cols = [ids.dictionary.take(pa.array(i[at])), items.dictionary.take(pa.array(t[at])), *map(pa.array, (bands[at].astype(np.int32), n, *spans))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "item", "band", "n", "lo", "hi", "ilo", "ihi"])
+
+    return run
+
+
 def banded_distance(pattern: str, text: str, shift: int, band: int, budget: int) -> int:
     """The least edits (up to ``budget`` + 1) between the pattern and a part of the text, over cells at most
     ``band`` off the diagonal ``shift`` (position in the text minus position in the pattern)."""
@@ -280,7 +311,7 @@ def find_leaks(
     2. the documents' q-grams that the index doesn't hold are dropped where they arise, by a map of bits of
        bounded size (a few pass it by chance and fall away in the join);
     3. the others are joined with the index and counted by document, item and band, each diagonal in two
-       overlapping bands, before and after the shuffle;
+       overlapping bands, where they arise (what can't reach the bound is dropped there) and after the shuffle;
     4. regions that reach the bound are kept; the documents that have one are read once more (the others
        are passed over by a map of bits of the ids, so the corpus isn't shuffled), the regions are cut out
        of both texts, and every window of a cut that keeps all the q-grams that the lemma asks for is
@@ -325,19 +356,25 @@ def find_leaks(
     common = places.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarity = places.join(common, "h").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "n")))["n"].alias("counts"))  # of one item's text
     chosen = normal.join(rarity, "id").mapInPandas(_rarest(min_words, max_edits), f"id {item_kind}, pos int")
-    index = materialize(places.join(chosen, ["id", "pos"]).select(F.col("id").alias("item"), F.col("pos").alias("ipos"), "h"), "leak-index")
+    index = places.join(chosen, ["id", "pos"]).join(normal.select("id", "bound"), "id")
+    index = materialize(index.select(F.col("id").alias("item"), "bound", F.col("pos").alias("ipos"), "h"), "leak-index")
     n_grams = index.count()
+    few = n_grams <= FEW
     wanted, bits = _bits(index.select("h"), n_grams)
     of_docs = d.mapInArrow(_grams(sizes, bits, wanted), f"id {kind}, pos int, h bigint")
-    met = of_docs.join(F.broadcast(index) if n_grams <= FEW else index, "h")
+    met = of_docs.join(F.broadcast(index) if few else index, "h")
 
     band = max_edits + 1
-    first = F.floor((F.col("pos") - F.col("ipos")) / F.lit(band)).cast("int")
     bounds = normal.select(F.col("id").alias("item"), "size", "bound", "pad")
+    if few:
+        parts = met.select("id", "item", "bound", "pos", "ipos").mapInArrow(_banded(band), f"id {kind}, item {item_kind}, band int, n bigint, lo int, hi int, ilo int, ihi int")
+    else:
+        first = F.floor((F.col("pos") - F.col("ipos")) / F.lit(band)).cast("int")
+        each = [F.col("pos").alias("lo"), F.col("pos").alias("hi"), F.col("ipos").alias("ilo"), F.col("ipos").alias("ihi")]
+        parts = met.select("id", "item", F.explode(F.array(first, first + 1)).alias("band"), F.lit(1).alias("n"), *each)
     regions = (
-        met.select("id", "item", "pos", "ipos", F.explode(F.array(first, first + 1)).alias("band"))
-        .groupBy("id", "item", "band")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("ipos").alias("ilo"), F.max("ipos").alias("ihi"))
+        parts.groupBy("id", "item", "band")
+        .agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("ilo").alias("ilo"), F.max("ihi").alias("ihi"))
         .join(bounds, "item")
         .where(F.col("n") >= F.col("bound"))
         .select("id", "item", "band", "lo", (F.col("hi") + F.col("size")).alias("hi"), "ilo", (F.col("ihi") + F.col("size")).alias("ihi"), "size", "pad")
