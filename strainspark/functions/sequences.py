@@ -95,16 +95,28 @@ def aligned_residues(qseq: Column, sseq: Column, sstart: Column, send: Column, *
     """
     minus = send < sstart
     n = F.least(F.length(qseq), F.length(sseq))
-    index = F.sequence(F.lit(1), n)
 
     def back(c: Column) -> Column:
         up = F.upper(c)
         return F.when(minus, complement(up)).otherwise(up) if nucleotide else up
 
-    def one(i: Column) -> Column:
-        s_before = F.length(F.replace(F.substring(sseq, F.lit(1), i - 1), F.lit("-")))
-        q_before = F.length(F.replace(F.substring(qseq, F.lit(1), i - 1), F.lit("-")))
-        position = sstart + F.when(minus, -s_before).otherwise(s_before)
-        return F.struct(position.cast("int").alias("position"), back(F.substring(qseq, i, F.lit(1))).alias("observed"), back(F.substring(sseq, i, F.lit(1))).alias("reference"), q_before.cast("int").alias("query_offset"))
+    letters = lambda c: F.slice(F.split(c, ""), 1, F.greatest(n, F.lit(0)))
+    columns = F.transform(F.arrays_zip(letters(qseq).alias("q"), letters(sseq).alias("s")), lambda x, i: F.struct(x["q"].alias("q"), x["s"].alias("s"), i.alias("i")))
+    gaps = lambda z, side: F.transform(F.filter(z, lambda x: x[side] == "-"), lambda x: x["i"])
 
-    return F.when(n > 0, F.transform(F.filter(index, lambda i: F.substring(sseq, i, F.lit(1)) != "-"), one))
+    def walked(o: Column) -> Column:
+        """Each column's letters once; what lies before it is its number less the gaps before it."""
+
+        def one(x: Column) -> Column:
+            before = lambda g: x["i"] - F.size(F.filter(g, lambda j: j < x["i"]))
+            step = F.when(minus, -before(o["sg"])).otherwise(before(o["sg"]))
+            return F.struct(
+                (sstart + step).cast("int").alias("position"), back(x["q"]).alias("observed"), back(x["s"]).alias("reference"), before(o["qg"]).cast("int").alias("query_offset")
+            )
+
+        return F.transform(F.filter(o["z"], lambda x: x["s"] != "-"), one)
+
+    # Arrays of one element hold what is made once for the whole alignment, so the walk is linear but for its gaps.
+    zipped = F.array(F.struct(columns.alias("z")))
+    with_gaps = F.transform(zipped, lambda o: F.struct(o["z"].alias("z"), gaps(o["z"], "s").alias("sg"), gaps(o["z"], "q").alias("qg")))
+    return F.when(n > 0, F.transform(with_gaps, walked)[0])

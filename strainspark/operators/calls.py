@@ -46,7 +46,7 @@ def _low(c: Column) -> Column:
 def marker_variants(df: DataFrame, keys: Sequence[str], name: str, stem: Column, order: Sequence[Column]) -> DataFrame:
     """Rows whose stem several names of the key share are cut down to the best in ``order``; others stay."""
     w = Window.partitionBy(*[q(k) for k in keys], "_stem")
-    marked = df.withColumn("_stem", stem).withColumn("_n", F.size(F.collect_set(q(name)).over(w))).withColumn("_r", F.row_number().over(w.orderBy(*order)))
+    marked = df.withColumn("_stem", stem).withColumn("_n", F.when(F.min(q(name)).over(w) < F.max(q(name)).over(w), 2).otherwise(1)).withColumn("_r", F.row_number().over(w.orderBy(*order)))
     return marked.where((F.col("_n") == 1) | (F.col("_r") == 1)).drop("_stem", "_n", "_r")
 
 
