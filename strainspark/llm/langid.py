@@ -43,16 +43,19 @@ def likelihood(entropy: np.ndarray, size: np.ndarray, sharpness: float) -> np.nd
     return odds / odds.sum(axis=1, keepdims=True)
 
 
-def fitted_sharpness(entropy: np.ndarray, size: np.ndarray, truth: np.ndarray) -> float:
-    """The sharpness at which the true languages (columns) of the pieces are likeliest; 1 without pieces."""
-    if not len(truth):
-        return 1.0
+#: The values of sharpness that are tried.
+GRID = np.geomspace(0.05, 50.0, 61)
+
+
+def losses(entropy: np.ndarray, size: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """For each sharpness of GRID, the sum of the pieces' negative log probabilities of their true languages (columns)."""
+    own = np.arange(len(truth))
+    return np.array([-np.log(np.maximum(likelihood(entropy, size, s)[own, truth], 1e-12)).sum() for s in GRID])
 
-    def loss(s: float) -> float:
-        return -float(np.log(np.maximum(likelihood(entropy, size, s)[np.arange(len(truth)), truth], 1e-12)).mean())
 
-    grid = np.geomspace(0.05, 50.0, 61)
-    return float(min(grid, key=loss))
+def fitted_sharpness(entropy: np.ndarray, size: np.ndarray, truth: np.ndarray) -> float:
+    """The sharpness at which the true languages (columns) of the pieces are likeliest; 1 without pieces."""
+    return float(GRID[losses(entropy, size, truth).argmin()]) if len(truth) else 1.0
 
 
 @dataclass
@@ -172,6 +175,22 @@ def segments(docs: DataFrame, identifier: Identifier, *, doc_id: str = "doc_id",
     return rows.mapInPandas(_segments(docs.sparkSession.sparkContext.broadcast(identifier)), out)
 
 
+#: Characters of posts whose words a task that fits holds at once; a post isn't cut.
+HELD_CHARS = 1_000_000
+
+
+def _slices(texts: pd.Series) -> Iterator[slice]:
+    """Runs of a block's posts, of about HELD_CHARS characters each."""
+    first, n = 0, 0
+    for i, t in enumerate(texts):
+        n += len(t or "")
+        if n >= HELD_CHARS:
+            yield slice(first, i + 1)
+            first, n = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def _word_counts(broadcast):
     """Labelled rows to (code, word, n): all words, or with an identifier those of parts in the label's language."""
 
@@ -179,15 +198,16 @@ def _word_counts(broadcast):
         identifier = broadcast.value if broadcast is not None else None
         for block in it:
             counts: dict[tuple[str, str], int] = {}
-            posts = [prose_words(t) for t in block["text"]]
-            spans = [(i, 0, len(p)) for i, p in enumerate(posts)]
-            if identifier is not None:
-                codes = block["code"].to_list()
-                spans = [(i, at, at + n) for i, _, lang, _, n, at, *_ in identifier.parts(block["text"]) if lang == codes[i]]
-            for i, x, y in spans:
-                for w in posts[i][x:y]:
-                    key = (block["code"].iat[i], w)
-                    counts[key] = counts.get(key, 0) + 1
+            for rows in _slices(block["text"]):
+                codes, texts = block["code"].iloc[rows].to_list(), block["text"].iloc[rows]
+                posts = [prose_words(t) for t in texts]
+                spans = [(i, 0, len(p)) for i, p in enumerate(posts)]
+                if identifier is not None:
+                    spans = [(i, at, at + n) for i, _, lang, _, n, at, *_ in identifier.parts(texts) if lang == codes[i]]
+                for i, x, y in spans:
+                    for w in posts[i][x:y]:
+                        key = (codes[i], w)
+                        counts[key] = counts.get(key, 0) + 1
             yield pd.DataFrame([(c, w, n) for (c, w), n in counts.items()], columns=["code", "word", "n"])
 
     return run
@@ -197,38 +217,92 @@ def _word_counts(broadcast):
 PIECES = (1, 2, 3, 5, 8, 13)
 
 
+def _cut(identifier: Identifier, block: pd.DataFrame) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """The pieces of each part of the rows (code, text) that is in the label's language: (language, characters, cross-entropies)."""
+    for rows in _slices(block["text"]):
+        code, texts = block["code"].iloc[rows].to_list(), block["text"].iloc[rows]
+        posts = [prose_words(t) for t in texts]
+        for i, _, lang, _, n, at, *_ in identifier.parts(texts):
+            if lang != code[i] or n < 2 * max(PIECES):
+                continue
+            logs, size = identifier.model.score(posts[i][at : at + n])
+            cuts = np.cumsum([0, *(PIECES[k % len(PIECES)] for k in range(n))])
+            cuts = cuts[cuts < n]
+            total, length = np.add.reduceat(logs, cuts, axis=0), np.add.reduceat(size, cuts)
+            yield lang, length, -total / length[:, None]
+
+
 def _pieces(broadcast):
     """Held-out rows (id, code, text) to pieces of the parts in the label's language: (code, n_chars, entropy)."""
 
     def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        identifier = broadcast.value
         for block in it:
             codes, chars, entropies = [], [], []
-            code = block["code"].to_list()
-            posts = [prose_words(t) for t in block["text"]]
-            for i, _, lang, _, n, at, *_ in identifier.parts(block["text"]):
-                if lang != code[i] or n < 2 * max(PIECES):
-                    continue
-                logs, size = identifier.model.score(posts[i][at : at + n])
-                cuts = np.cumsum([0, *(PIECES[k % len(PIECES)] for k in range(n))])
-                cuts = cuts[cuts < n]
-                total, length = np.add.reduceat(logs, cuts, axis=0), np.add.reduceat(size, cuts)
-                codes += [lang] * len(cuts)
+            for lang, length, entropy in _cut(broadcast.value, block):
+                codes += [lang] * len(length)
                 chars += length.tolist()
-                entropies += (-total / length[:, None]).tolist()
+                entropies += entropy.tolist()
             yield pd.DataFrame({"code": codes, "n_chars": chars, "entropy": entropies})
 
     return run
 
 
 def pieces_of(held: DataFrame, identifier: Identifier) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(cross-entropies, characters, true columns) of the held-out pieces: no more than the bounded sample has words."""
+    """(cross-entropies, characters, true columns) of the held-out pieces, to look at: all of them come to the driver."""
     rows = held.mapInPandas(_pieces(held.sparkSession.sparkContext.broadcast(identifier)), "code string, n_chars bigint, entropy array<double>").toPandas()
     column = {name: i for i, name in enumerate(identifier.model.languages)}
     entropy = np.array(rows["entropy"].tolist(), dtype=float).reshape(len(rows), len(column))
     return entropy, rows["n_chars"].to_numpy(), rows["code"].map(column).to_numpy(dtype=np.int64)
 
 
+#: Pieces whose losses a task sums up at once.
+AT_ONCE = 20_000
+
+
+def _losses(broadcast):
+    """Held-out rows (id, code, text) to one row for each task: the number of its pieces and their losses."""
+
+    def run(it: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        identifier = broadcast.value
+        column = {name: i for i, name in enumerate(identifier.model.languages)}
+        n, total, held, waiting = 0, np.zeros(len(GRID)), [], 0
+
+        def summed() -> np.ndarray:
+            truth = np.repeat([column[lang] for lang, _, _ in held], [len(length) for _, length, _ in held])
+            return losses(np.concatenate([e for _, _, e in held]), np.concatenate([length for _, length, _ in held]), truth)
+
+        for block in it:
+            for piece in _cut(identifier, block):
+                held.append(piece)
+                n, waiting = n + len(piece[1]), waiting + len(piece[1])
+                if waiting >= AT_ONCE:
+                    total, held, waiting = total + summed(), [], 0
+        if held:
+            total = total + summed()
+        yield pd.DataFrame({"n": [n], "loss": [total.tolist()]})
+
+    return run
+
+
+def sharpness_of(held: DataFrame, identifier: Identifier) -> float:
+    """:func:`fitted_sharpness` of the held-out pieces, which stay in the tasks: the driver gets a sum for each value tried."""
+    rows = held.mapInPandas(_losses(held.sparkSession.sparkContext.broadcast(identifier)), "n bigint, loss array<double>").where("n > 0").collect()
+    return float(GRID[np.sum([r.loss for r in rows], axis=0).argmin()]) if rows else 1.0
+
+
+def limits_of(held: DataFrame, identifier: Identifier) -> tuple[np.ndarray, np.ndarray]:
+    """The languages' ``mean`` and ``spread`` by the held-out parts in the label's language; the driver gets a row for each language."""
+    parts = segments(held, identifier, doc_id="id", keep=["code"]).where("language = code").select("language", "cross_entropy", "n_chars")
+    own = materialize(parts, "language-parts")
+    means = own.groupBy("language").agg((F.sum(F.col("cross_entropy") * F.col("n_chars")) / F.sum("n_chars")).alias("m"))
+    over = (F.col("cross_entropy") - F.col("m")) * F.sqrt("n_chars")
+    mean, spread = identifier.mean.copy(), identifier.spread.copy()
+    for r in own.join(F.broadcast(means), "language").groupBy("language", "m").agg(F.percentile(over, F.lit(ACCEPT)).alias("q")).collect():
+        i = identifier.model.languages.index(r.language)
+        mean[i], spread[i] = SLACK * r.m, max(0.0, r.q)
+    return mean, spread
+
+
 def fit(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "lang", languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS,
     rounds: int = 2,
@@ -238,8 +312,8 @@ def fit(
     The sample are the posts with the lowest hash of their id, so it doesn't depend on their order; of these,
     posts of over ``sample_chars`` characters (a bound of its size) and empty ones are left out. The
     labels are partly wrong and posts mixed: after the first fit each round keeps only the words of parts
-    whose language is the label's, and fits again. Counts are made by Spark; the driver gets the distinct
-    words of the bounded sample. Held-out posts give each language's limit of cross-entropy; pieces of 1 to 13
+    whose language is the label's, and fits again. Counts, limits and losses are made by Spark; the driver gets the distinct
+    words of the bounded sample, and sums. Held-out posts give each language's limit of cross-entropy; pieces of 1 to 13
     words of their parts in the label's language give the sharpness at which a piece's true language is
     likeliest, so that of parts with confidence c about the share c is right. Raises ValueError if no language has a labelled post with words.
     """
@@ -266,14 +340,7 @@ def fit(
         identifier = Identifier(model, np.full(len(model.languages), np.inf), np.zeros(len(model.languages)))
     if identifier is None:
         raise ValueError("no labelled post with words")
-    checked = segments(held, identifier, doc_id="id", keep=["code"]).where("language = code").select("language", "cross_entropy", "n_chars").toPandas()
-    mean, spread = identifier.mean.copy(), identifier.spread.copy()
-    for i, name in enumerate(model.languages):
-        own = checked[checked["language"] == name]
-        if len(own):
-            m = float(np.average(own["cross_entropy"], weights=own["n_chars"]))
-            mean[i], spread[i] = SLACK * m, max(0.0, float(np.quantile((own["cross_entropy"] - m) * np.sqrt(own["n_chars"]), ACCEPT)))
-    return Identifier(model, mean, spread, fitted_sharpness(*pieces_of(held, identifier)))
+    return Identifier(model, *limits_of(held, identifier), sharpness_of(held, identifier))
 
 
 def languages_of(parts: DataFrame, *, doc_id: str = "doc_id", keep: Sequence[str] = (), min_words: int = 12) -> DataFrame:

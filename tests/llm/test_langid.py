@@ -97,3 +97,57 @@ def test_sharpness():
     p = likelihood(entropy, size, 2.0)
     truth = np.array([rng.choice(3, p=x) for x in p])
     assert 1.6 < fitted_sharpness(entropy, size, truth) < 2.5 and fitted_sharpness(entropy[:0], size[:0], truth[:0]) == 1.0
+
+
+def test_the_driver_gets_no_more_of_longer_posts(spark, monkeypatch):
+    """Pieces and parts of the held-out posts stay in the tasks: with posts twenty times as long, no more rows reach the driver."""
+    kind, got = type(spark.range(1)), []
+
+    def counted(f):
+        def run(self):
+            out = f(self)
+            got.append(len(out))
+            return out
+
+        return run
+
+    monkeypatch.setattr(kind, "collect", counted(kind.collect))
+    monkeypatch.setattr(kind, "toPandas", counted(kind.toPandas))
+    most = []
+    for times in (2, 40):
+        got.clear()
+        text = {"en": " ".join([*EN, *DE, *EN] * times), "de": " ".join([*DE, *EN, *DE] * times)}
+        fit(spark.createDataFrame([(i, text[c], c) for i, c in enumerate(["en", "de"] * 8)], "doc_id bigint, text string, lang string"))
+        most.append(max(got))
+    assert most[0] == most[1], most
+
+
+def test_sharpness_and_limits_are_those_of_all_pieces_and_parts(spark):
+    from strainspark.llm.langid import ACCEPT, AT_ONCE, SLACK, fitted_sharpness, limits_of, pieces_of, sharpness_of
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ident = fit(docs.where("doc_id % 2 = 0"), sample=60)
+    held = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), label_code(F.col("lang")).alias("code"), "text").where("code IS NOT NULL")
+    more = held.union(held).union(held).coalesce(1)
+    entropy, size, truth = pieces_of(more, ident)
+    assert len(truth) > AT_ONCE and sharpness_of(more, ident) == fitted_sharpness(entropy, size, truth)
+    assert sharpness_of(held.where("false"), ident) == 1.0
+    n = len(ident.model.languages)
+    bare = Identifier(ident.model, np.full(n, np.inf), np.zeros(n))
+    mean, spread = limits_of(held.where("code <> 'sv'"), bare)
+    parts = segments(held, bare, doc_id="id", keep=["code"]).where("language = code").toPandas()
+    for i, name in enumerate(ident.model.languages):
+        own = parts[parts["language"] == name]
+        m = np.average(own["cross_entropy"], weights=own["n_chars"])
+        want = (np.inf, 0) if name == "sv" else (SLACK * m, max(0.0, np.quantile((own["cross_entropy"] - m) * np.sqrt(own["n_chars"]), ACCEPT)))
+        assert np.allclose((mean[i], spread[i]), want, rtol=1e-9)
+
+
+def test_posts_are_taken_in_runs_of_bounded_size(monkeypatch):
+    import pandas as pd
+
+    from strainspark.llm import langid
+
+    monkeypatch.setattr(langid, "HELD_CHARS", 10)
+    texts = pd.Series(["a" * 4, None, "b" * 30, "c" * 9, "d"])
+    assert [(r.start, r.stop) for r in langid._slices(texts)] == [(0, 3), (3, 5)] and not list(langid._slices(texts[:0]))
